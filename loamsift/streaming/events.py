@@ -12,12 +12,13 @@ def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int
 
 def first_of_key(df: DataFrame, key: str, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """The first row of each key; state is dropped once the watermark has passed a row's time."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def windowed(df: DataFrame, ts: str = "ts", size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Rows and value sums per window and event type; late rows beyond the delay are left out."""
-    source = df.withWatermark(ts, delay) if df.isStreaming else df
+    kind = df.schema[ts].dataType.simpleString()
+    source = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if df.isStreaming else df  # watermarks want zoned times
     return source.groupBy(F.window(ts, size).alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 2).alias("total_value")).select(
-        F.col("w.start").alias("window_start"), "event_type", "n_events", "total_value"
+        F.col("w.start").cast(kind).alias("window_start"), "event_type", "n_events", "total_value"
     )
