@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from loamsift.llm.kernel import MEMO_WORDS, as_bytes, crc_fold, list_array, map_arrow, mix
 
-BITS, MAX_ROWS, EPOCHS = 18, 8000, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.1
+BITS, MAX_ROWS, EPOCHS = 18, 8000, 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 0.1
 MASK = np.uint64((1 << BITS) - 1)
 RUN = re.compile(rb"(.)\1+", re.S)
 SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from loamsift.llm.kernel import MEMO_WORDS, as_bytes, crc_fold, list_array, map_arrow
 
 BITS = 18
-MAX_POSITIVE, MAX_UNLABELLED, MIN_SUPPORT = 4000, 12000, 4
-MIN_Z, STEPS, RATE, DECAY, CUT = 5.0, 200, 0.1, 1e-4, 0.7
+MAX_POSITIVE, MAX_UNLABELLED, MIN_SUPPORT = 4000, 12000, 3
+MIN_Z, STEPS, RATE, DECAY, CUT = 4.0, 500, 0.1, 1e-4, 0.7
 EDGES = b".,;:!?()[]{}\"'*_-"
 
 
