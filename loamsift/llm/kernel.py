@@ -6,6 +6,7 @@ exactly these, so the hot loops work on encoded text and never on a character at
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -126,8 +127,19 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and outlives lost executors.
 
-    Frames made from it read it lazily, so it stays until the owner of the shared folder empties that.
+    Frames made from it read it lazily, so it stays until ``discard`` or until the owner of the shared folder empties that.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.loamsift_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that no frame in use reads any more, and let go of shuffle files nobody can reach."""
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(df.loamsift_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

@@ -98,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     known, toxic = ids.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return None
+    prior = min(0.5, (toxic + 1) / (known + 20))  # a few labels can't say that most texts are toxic
     chosen = ids.where("toxic = 1").orderBy(F.xxhash64("id2"), "id2").limit(MAX_POSITIVE).select("id2", F.lit(True).alias("positive"))
     share = min(1.0, MAX_UNLABELLED / max(1, docs.count()))
     lot = F.pmod(F.xxhash64(F.lit("unlabelled"), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000)
@@ -108,10 +109,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     x, flag = table["x"].to_pylist(), table["positive"].to_pylist()
     sample = [np.array(r, np.int32) for r in x]
     positive = [r for r, f in zip(sample, flag) if f][: 2 * MAX_POSITIVE]
-    unlabelled = [r for r, f in zip(sample, flag) if not f] + positive[: int(len(sample) * share * toxic / known)]
+    unlabelled = [r for r, f in zip(sample, flag) if not f] + positive[: int(len(sample) * share * prior)]
     if not positive or not unlabelled:
         return None
-    return train(positive, unlabelled, min(0.9, max(0.001, toxic / known)))
+    return train(positive, unlabelled, prior)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, drop_text: bool = False) -> DataFrame:
