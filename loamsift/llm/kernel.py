@@ -7,6 +7,7 @@ exactly these, so the hot loops work on encoded text and never on a character at
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -141,5 +142,7 @@ def discard(df: DataFrame) -> None:
     jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
     path = jvm.org.apache.hadoop.fs.Path(df.loamsift_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # the first round lets go of the JVM's objects, the second collects them
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)

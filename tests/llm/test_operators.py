@@ -369,7 +369,7 @@ def test_near_join_real(real, none, docs):
 
 def test_pieces_never_miss():
     r = np.random.default_rng(0)
-    weight = np.ones(nearjoin.COUNTERS, np.int64)
+    weight = np.ones(nearjoin.COUNTERS, np.uint8)
     for _ in range(400):
         n = int(r.integers(1, 300))
         a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
