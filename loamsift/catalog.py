@@ -268,16 +268,31 @@ def pair_delta(spark, d):
 NORM = Pattern("regexp_replace(" + STRIP.format("lower({0})") + f", '{W}+', ' ', 'g')")
 
 
+def evol_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Instructions beside that of two turns before."""
+    p = pair_rows(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("instruction").alias("i"))
+    return p.join(p.select((F.col("seq") + 2).alias("seq"), F.col("i").alias("p")), "seq")
+
+
+def evol_verdicts(pairs: DataFrame) -> DataFrame:
+    return pairs.select("seq", filters.evol_reason(F.col("i"), F.col("p")).alias("reason"))
+
+
 @query(
     f"""with {PAIRS}, j as (select c.seq, c.i as c, p.i as p from pairs c join pairs p on p.seq = c.seq - 2 where c.i = regexp_replace(c.i, '[^\\x00-\\x7F]', '', 'g') and p.i = regexp_replace(p.i, '[^\\x00-\\x7F]', '', 'g'))
 select seq, case when {NORM.format('c')} = {NORM.format('p')} then 'evol_identical_to_parent' when contains(lower(c), 'i cannot') or contains(lower(c), 'i''m unable') or contains(lower(c), 'as an ai') then 'evol_refusal'
 when length({STRIP.format('c')}) < 20 then 'evol_instruction_too_short' when levenshtein(c, p) < 20 then 'evol_edit_distance_too_small' end as reason from j"""
 )
 def evol_rejection(spark, d):
-    p = pair_rows(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("instruction").alias("i"))
+    """The pairs in ASCII, where DuckDB's levenshtein, of bytes, agrees with Spark's, of code points."""
     ascii_ = lambda c: F.col(c) == F.regexp_replace(c, r"[^\x00-\x7F]", "")
-    both = p.join(p.select((F.col("seq") + 2).alias("seq"), F.col("i").alias("p")), "seq").where(ascii_("i") & ascii_("p"))
-    return both.select("seq", filters.evol_reason(F.col("i"), F.col("p")).alias("reason"))
+    return evol_verdicts(evol_pairs(spark, d).where(ascii_("i") & ascii_("p")))
+
+
+@query()
+def evol_rejection_all(spark, d):
+    """Every pair, whatever its letters."""
+    return evol_verdicts(evol_pairs(spark, d))
 
 
 @query(f"with {PAIRS} select seq, 2::bigint as n_messages, 'user,assistant' as roles, length(i)::bigint as first_chars, sha256(r) as last_hash from pairs")
