@@ -1,10 +1,13 @@
 """Personal data, and the terms that give it away.
 
-Addresses of mail and network, card and phone numbers are found by pattern. Terms near them are judged by what the
-corpus says: with N documents, a term in n(t), an entity in n(e) and both close together in n(t, e) of them, the
-disclosure is PMI(t, e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)), which is 1 when the term occurs with the
-entity only. Where it reaches ``GENERALISE`` the term is replaced by its kind, at ``REMOVE`` it is removed, next to that
-entity. Pairs seen in fewer than ``MIN_PAIR`` documents are no evidence.
+Addresses of mail and network, card and phone numbers are found by pattern. Terms are judged by what the corpus says:
+with N documents, a term in n(t), an entity in n(e) and both in n(t, e) of them, anywhere in the text, the disclosure is
+PMI(t, e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)), which is 1 when the term occurs with the entity only.
+Where it reaches ``GENERALISE`` with some entity the term is replaced by its kind, at ``REMOVE`` it is removed, wherever
+it stands in the corpus. Pairs seen in fewer than ``MIN_PAIR`` documents are no evidence. Words that touch an entity's
+span are no terms there.
+
+As n(t, e) <= n(e), a term of n(t) > N ^ (1 - GENERALISE) n(e) ^ GENERALISE can't reach it; such pairs are never listed.
 
 Defined cases: null text counts as empty; repeated rows count as documents each; an empty table gives an empty result;
 other columns are carried by ``sanitise`` whatever their names, and ignored by ``find``.
@@ -16,14 +19,17 @@ import bisect
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamsift.llm.kernel import BLANKS, map_arrow, written
+from loamsift.llm.bitmap import bitmap, may_hold
+from loamsift.llm.kernel import MEMO_WORDS, as_bytes, map_arrow, written
 
-WINDOW, MIN_PAIR, GENERALISE, REMOVE = 5, 2, 0.85, 0.98
+MIN_PAIR, GENERALISE, REMOVE = 2, 0.85, 0.98
 KINDS = ("email", "ip", "card", "phone", "term")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,10 +40,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}\"'"
 GENERAL = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
-FOUND = (
-    "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,stop:int>>, "
-    "near array<struct<term:string,entity:string,start:int,stop:int>>"
-)
+FOUND = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,stop:int>>, entities array<long>, terms array<long>"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -77,93 +80,161 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """Terms within ``WINDOW`` words of an entity: (term, entity, start, end); words that touch a span are no terms."""
-    words = [(m.start(), m.end()) for m in WORDS.finditer(text)]
-    starts = [w[0] for w in words]
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The distinct entities of a text's spans."""
+    return list(dict.fromkeys(KINDS[k] + ":" + (text[s:e].lower() if k == 0 else text[s:e] if k == 1 else NOT_DIGIT.sub("", text[s:e])) for k, s, e in spans))
+
+
+def places(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of a text's words without the punctuation around them; words that touch a span are no terms."""
     order = sorted((s, e) for _, s, e in spans)
     reach = []  # furthest end of the spans up to each, so that one look tells whether a word touches any
     for s, e in order:
         reach.append(max(e, reach[-1] if reach else 0))
-    out, seen = [], set()
-    for kind, s, e in spans:
-        entity = KINDS[kind] + ":" + (text[s:e].lower() if kind == 0 else text[s:e] if kind == 1 else NOT_DIGIT.sub("", text[s:e]))
-        a, b = bisect.bisect_right(starts, s) - 1, bisect.bisect_left(starts, e)
-        for k in [*range(max(0, a - WINDOW), a + 1), *range(b, min(len(words), b + WINDOW))]:
-            ws, we = words[k]
-            word = text[ws:we]
-            ws += len(word) - len(word.lstrip(EDGES))
-            word = word.strip(EDGES)
-            we = ws + len(word)
-            i = bisect.bisect_left(order, (we, 0))
-            if word and not (i and reach[i - 1] > ws) and (entity, ws) not in seen:
-                seen.add((entity, ws))
-                out.append((word, entity, ws, we))
+    out = []
+    for m in WORDS.finditer(text):
+        word = m[0].lstrip(EDGES)
+        ws = m.end() - len(word)
+        word = word.rstrip(EDGES)
+        we = ws + len(word)
+        i = bisect.bisect_left(order, (we, 0))
+        if word and not (i and reach[i - 1] > ws):
+            out.append((word, ws, we))
     return out
 
 
+def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
+    """(term, entity, start, end) of every term of a text with each of its entities; the plan counts these pairs without listing them."""
+    return [(w, x, s, e) for x in entities(text, spans) for w, s, e in places(text, spans)]
+
+
+def hashed(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(as_bytes(value))
+
+
+def signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+class Terms(dict):
+    """Word as it stands -> hash of its term, 0 for bare punctuation; starts anew when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        term = word.decode("utf-8", "surrogatepass").strip(EDGES).lower()
+        value = self[word] = hashed(term) if term else 0
+        return value
+
+    def of(self, text: str) -> np.ndarray:
+        """Distinct hashes of the text's terms."""
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        words = set(as_bytes(text).split())
+        h = np.unique(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+        return h[h != 0]
+
+
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text"))
+
+
 def findings(docs: DataFrame) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            rows = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near")}
+            rows = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms")}
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 for k, n in enumerate(("n_email", "n_ip", "n_card", "n_phone")):
                     rows[n].append(sum(s[0] == k for s in spans))
                 rows["base_sha256"].append(hashlib.sha256(digest(spans).encode()).hexdigest())
                 rows["base"].append([{"kind": k, "start": s, "stop": e} for k, s, e in spans])
-                rows["near"].append([{"term": t, "entity": x, "start": s, "stop": e} for t, x, s, e in near_terms(text, spans)] if spans else [])
+                rows["entities"].append(signed([hashed(x) for x in entities(text, spans)]))
+                rows["terms"].append(signed([hashed(t) for t in {w.lower() for w, _, _ in places(text, spans)}] if spans else []))
             return {c: batch.column(c) for c in ("doc_id", "text_key")} | rows
 
         return step
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text")), FOUND, make)
+    return map_arrow(keyed(docs), FOUND, make)
+
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """t2, n_t: documents per term."""
 
-def terms_of(text):
-    """A text's distinct terms, as hashes, for counting documents per term."""
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANKS), lambda w: F.xxhash64(F.btrim(w, F.lit(EDGES))))
-    return F.array_distinct(words)
+    def make():
+        memo = Terms()
+
+        def step(batch: pa.RecordBatch) -> dict:
+            got = [memo.of(t) for t in batch.column("text").to_pylist()]
+            return {"t2": np.concatenate(got).view(np.int64) if got else []}
 
+        return step
 
-def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(near, flagged): each text's terms beside entities, and the (term, entity) pairs whose disclosure is too high."""
-    near = found.select("doc_id", "text_key", F.explode("near").alias("n")).select(
-        "text_key", F.xxhash64(F.lower("n.term")).alias("t"), F.xxhash64("n.entity").alias("e"), F.col("n.start").alias("start"), F.col("n.stop").alias("stop")
-    )
-    total = found.count()
+    return map_arrow(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")), "t2 long", make).groupBy("t2").agg(F.count("*").alias("n_t"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """t, disclosure: the terms whose disclosure of some entity is too high, with the highest."""
+    total = float(max(found.count(), 1))
     # copies of a text are counted before they are unfolded, so a hot text is one row here
-    weight = found.where(F.size("base") > 0).groupBy("text_key").agg(F.count("*").alias("n_docs"), F.first("near").alias("near"))
-    once = weight.select("n_docs", F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(F.xxhash64(F.lower(n["term"])).alias("t"), F.xxhash64(n["entity"]).alias("e"))))).alias("p"))
-    pairs = once.groupBy("p.t", "p.e").agg(F.sum("n_docs").alias("n_te")).where(F.col("n_te") >= MIN_PAIR)
-    holders = weight.select("n_docs", F.explode(F.array_distinct(F.transform("near", lambda n: F.xxhash64(n["entity"])))).alias("e2"))
-    n_e = holders.groupBy("e2").agg(F.sum("n_docs").alias("n_e"))
-    n_t = docs.select(F.explode(terms_of(F.col("text"))).alias("t2")).groupBy("t2").agg(F.count("*").alias("n_t"))
-    scored = written(pairs, "pairs").join(n_e, F.col("e") == F.col("e2")).join(n_t, F.col("t") == F.col("t2"))
-    ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    flagged = scored.where(ic > 0).select("t", "e", F.least(pmi / ic, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    return near, flagged
+    weight = found.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("n_docs"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    weight = written(weight, "holders")
+    held = weight.select("text_key", "n_docs", F.explode("entities").alias("e"))
+    n_e = written(held.groupBy(F.col("e").alias("e2")).agg(F.sum("n_docs").alias("n_e")).where((F.col("n_e") >= MIN_PAIR) & (F.col("n_e") < total)), "entities")
+    most = lambda n: F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(n, F.lit(GENERALISE)) * (1 + 1e-9)
+    top = n_e.agg(F.max("n_e")).first()[0] or 0
+    n_t = term_counts(docs).where((F.col("n_t") >= MIN_PAIR) & (F.col("n_t") <= most(F.lit(float(top)))))
+    terms = weight.select("text_key", F.explode("terms").alias("t")).join(n_t, F.col("t") == F.col("t2")).select(F.col("text_key").alias("k2"), "t", "n_t")
+    both = held.join(n_e, F.col("e") == F.col("e2")).join(terms, F.col("text_key") == F.col("k2")).where(F.col("n_t") <= most(F.col("n_e")))
+    scored = both.groupBy("t", "e").agg(F.sum("n_docs").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= MIN_PAIR)
+    ic = F.log(F.lit(total) / F.col("n_e"))
+    pmi = F.log(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    flagged = scored.select("t", F.least(pmi / ic, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return written(flagged.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "flagged")
+
+
+def standing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """text_key, t3, start, stop: where terms stand that the bitmap lets by."""
+
+    def make():
+        memo = Terms()
+
+        def step(batch: pa.RecordBatch) -> dict | None:
+            rows, t3, start, stop = [], [], [], []
+            for r, text in enumerate(batch.column("text").to_pylist()):
+                h = memo.of(text)
+                hit = set(h[may_hold(bits, h)].tolist())
+                if not hit:
+                    continue
+                for word, s, e in places(text, base_spans(text)):
+                    if (x := hashed(word.lower())) in hit:
+                        rows.append(r)
+                        t3.append(x)
+                        start.append(s)
+                        stop.append(e)
+            if not rows:
+                return None
+            return {"text_key": batch.column("text_key").take(pa.array(rows)), "t3": signed(t3), "start": start, "stop": stop}
+
+        return step
+
+    return map_arrow(keyed(docs), "text_key string, t3 long, start int, stop int", make)
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """text_key -> terms: the flagged spans of that text with their disclosure."""
-    near, flagged = disclosing(docs, found)
-    f = flagged.select(F.col("t").alias("t3"), F.col("e").alias("e3"), "disclosure")
-    hits = near.distinct().join(f, (F.col("t") == F.col("t3")) & (F.col("e") == F.col("e3")))
-    worst = hits.groupBy("text_key", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
-    return worst.groupBy(F.col("text_key").alias("key2")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
+    flagged = disclosing(docs, found)
+    hits = standing(docs, bitmap(flagged, "t")).distinct().join(flagged, F.col("t3") == F.col("t"))
+    return hits.groupBy(F.col("text_key").alias("key2")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Per document: counts and digest of the base spans, and all spans with the disclosing terms."""
     found = written(findings(docs), "found")
-    out = found.join(term_spans(docs, found), F.col("text_key") == F.col("key2"), "left")
+    out = found.drop("entities", "terms").join(term_spans(docs, found), F.col("text_key") == F.col("key2"), "left")
     name = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["stop"]))
     extra = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,disclosure:double>>")), lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["stop"]))

@@ -1,0 +1,17 @@
+"""Cases that the operators once left out."""
+
+from __future__ import annotations
+
+from loamsift.llm import sanitise
+from tests.llm.data import prose
+
+
+def test_terms_are_flagged_wherever_they_stand(spark):
+    far = [(i, f"ann@x.org {prose(i, 40)} Zanzibar! {prose(i + 50, 40)} zanzibar") for i in range(20)]
+    rows = [*far, (20, f"{prose(20, 30)} zanzibar,"), *[(i, prose(i, 60)) for i in range(21, 400)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in sanitise.find(df).collect()}
+    assert all(out[i].n_term == 2 for i in range(20)) and out[20].n_term == 1 and not any(out[i].n_term for i in range(21, 400))
+    at = rows[20][1].index("zanzibar")
+    assert out[20].spans == f"term:{at}:{at + 8}"
+    assert not any("zanzibar" in r.text.lower() for r in sanitise.sanitise(df).collect())
