@@ -8,8 +8,9 @@ Along one alignment of a document with an item, the slots must agree: one value
 document, up to ``MIN_CONSISTENT`` of the values. A document is contaminated by an item of whose windows it holds
 ``MIN_COVERAGE`` at a consistent alignment, whatever the numbers and names in it.
 
-A template that several items share belongs to the item of the smallest id, so re-parameterised items are one item and
-joins stay one to one. Documents are filtered by a bitmap of fixed size before they are joined.
+A template that several items share is held against the slots of each. Items whose whole templates are equal are one
+item, named by the smallest id, but only once documents have been found. Documents are filtered by a bitmap of fixed
+size before they are joined.
 
 Defined cases: rows equal in id and text are one document; null and empty texts hold nothing; items with null text or
 id are ignored; an empty benchmark contaminates nothing; an empty table gives an empty result; extra columns are carried
@@ -168,19 +169,28 @@ def scanner(lengths: list[int], bits: np.ndarray | None, all_firsts: bool) -> Ca
     return scan
 
 
+def template_key(text: str) -> int:
+    """Hash of a text's whole template."""
+    out, initial = [], True
+    for word in as_bytes(text).split():
+        out += [v if k == LITERAL or k == NAME and initial else PLACE[k] for k, v in tokens_of(word)]
+        initial = word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?")
+    return xxhash.xxh3_64_intdigest(" ".join(out).encode()) - (1 << 63)
+
+
 def windows(texts: DataFrame, lengths: list[int] | None, bits: np.ndarray | None) -> DataFrame:
-    """texts: doc, key, text -> windows. lengths None: each text's own, as for items."""
+    """texts: doc, key, text -> windows. lengths None: each text's own, as for items; key is the template's then."""
 
     def make():
         own = {n: scanner([n], None, True) for n in range(MIN_ITEM, WINDOW + 1)} if lengths is None else None
         shared = None if lengths is None else scanner(lengths, bits, False)
 
         def step(batch: pa.RecordBatch) -> dict | None:
-            texts = batch.column("text").to_pylist()
+            texts, key = batch.column("text").to_pylist(), batch.column("key")
             if shared is not None:
                 found = shared(texts)
             else:
-                found = []
+                found, key = [], pa.array([template_key(t) for t in texts], pa.int64())
                 for r, t in enumerate(texts):
                     n = min(WINDOW, sum(len(tokens_of(w)) for w in as_bytes(t).split()))
                     found += [(r, *x[1:]) for x in own[n]([t])] if n >= MIN_ITEM else []
@@ -188,7 +198,7 @@ def windows(texts: DataFrame, lengths: list[int] | None, bits: np.ndarray | None
                 return None
             rows, at, whash, template, slots = map(list, zip(*found))
             take = pa.array(rows)
-            return {"doc": batch.column("doc").take(take), "key": batch.column("key").take(take), "at": at, "whash": whash, "template": template, "slots": slots}
+            return {"doc": batch.column("doc").take(take), "key": key.take(take), "at": at, "whash": whash, "template": template, "slots": slots}
 
         return step
 
@@ -199,11 +209,13 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs: doc, key, text -> doc, key, item, coverage, verbatim for contaminated ones."""
     items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("doc")).withColumn("key", F.lit(0).cast("long"))
     every = written(windows(items, None, None), "items")
-    first = F.min(F.struct(F.col("doc").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))).alias("f")
-    owned = written(every.groupBy("whash", "template").agg(first).select(F.col("whash").alias("wh"), F.col("template").alias("tp"), "f.*"), "owned")
+    owned = every.groupBy(F.col("whash").alias("wh"), F.col("template").alias("tp"), F.col("doc").alias("item"), F.col("slots").alias("item_slots"))
+    owned = written(owned.agg(F.min("at").alias("item_at"), F.min("key").alias("item_key")), "owned")
     size = F.size(F.split("tp", " "))
     lengths = [r[0] for r in owned.select(size.alias("n")).distinct().collect()]  # WINDOW - MIN_ITEM + 1 at most
-    n_owned = owned.groupBy(F.col("item").alias("i2")).agg(F.countDistinct("item_at").alias("n_owned"))
+    per_item = owned.groupBy(F.col("item").alias("i2"), F.col("item_key").alias("k2")).agg(F.countDistinct("item_at").alias("n_owned"))
+    names = owned.groupBy(F.col("item_key").alias("k3")).agg(F.min("item").alias("name"))
+    per_item = per_item.join(names, F.col("k2") == F.col("k3")).select("i2", "n_owned", "name")
     found = windows(docs, lengths, bitmap(owned, "wh")) if lengths else every.limit(0)
     pairs = found.join(owned, (F.col("whash") == F.col("wh")) & (F.col("template") == F.col("tp")))
     pairs = pairs.withColumn("slot", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
@@ -213,8 +225,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values = F.size(F.array_distinct(F.transform("slot", lambda s: s["a"])))
     good = (F.size("slot") == 0) | (values >= MIN_CONSISTENT * F.size("slot"))
     same = F.forall("slot", lambda s: s["a"] == s["b"])
-    lined = lined.where(good).join(n_owned, F.col("item") == F.col("i2")).withColumn("coverage", F.col("n") / F.col("n_owned"))
-    return lined.where(F.col("coverage") >= MIN_COVERAGE).groupBy("doc", "key", "item").agg(F.max("coverage").alias("coverage"), F.max(same).alias("verbatim"))
+    lined = lined.where(good).join(per_item, F.col("item") == F.col("i2")).withColumn("coverage", F.col("n") / F.col("n_owned"))
+    return lined.where(F.col("coverage") >= MIN_COVERAGE).groupBy("doc", "key", F.col("name").alias("item")).agg(F.max("coverage").alias("coverage"), F.max(same).alias("verbatim"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

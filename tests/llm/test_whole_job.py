@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamsift.llm import sanitise
+from loamsift.llm import decontam, sanitise
 from tests.llm.data import prose
 
 
@@ -15,3 +15,12 @@ def test_terms_are_flagged_wherever_they_stand(spark):
     at = rows[20][1].index("zanzibar")
     assert out[20].spans == f"term:{at}:{at + 8}"
     assert not any("zanzibar" in r.text.lower() for r in sanitise.sanitise(df).collect())
+
+
+def test_every_item_of_a_template_is_found(spark):
+    item = "a farmer sells {} boxes of pears in the morning and {} more boxes after lunch while the helper carries {} empty boxes back to the barn before the rain starts"
+    bench = spark.createDataFrame([(1, item.format(3, 3, 4)), (2, item.format(3, 7, 4))], "item_id long, text string")
+    df = spark.createDataFrame([(k, item.format(*x)) for k, x in enumerate(((3, 3, 4), (3, 7, 4), (5, 8, 6), (3, 3, 3)))], "doc_id long, text string")
+    out = {r.doc_id: (r.contaminated, r["items"], r.verbatim) for r in decontam.find(df, bench).collect()}
+    assert out[0] == out[1] == (True, "1", True) and out[2] == (True, "1", False)
+    assert not {1, 2} & {r.doc_id for r in decontam.keep_clean(df, bench).collect()}
