@@ -7,8 +7,8 @@ takes the distances under the present estimate, their quantile per group, and th
 map-side combined aggregates, so a hot group is never gathered.
 
 Defined cases: null or empty texts have no words and fail the fixed rules; null language or source is a value of its
-own; groups below ``MIN_ROWS`` rows are pooled by language, and a pool that is still small passes all its rows; repeated
-rows count each; an empty table gives an empty result; extra columns don't matter.
+own; groups below ``MIN_ROWS`` rows are pooled by language, and what is still small over all languages; if that pool is
+small too, its rows are judged against all rows of the table, however few; repeated rows count each; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ D = len(FLOORS)
 X = [f"x{i}" for i in range(D)]
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{x} double" for x in X)
 IDS = 1 << 21
+REST = "*"  # the last pool; names of the others begin otherwise
 
 
 class Ids(dict):
@@ -163,22 +164,26 @@ def fit(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, most: float = MAX_DISTANCE) -> DataFrame:
-    """Per document: the base statistics, base_failed, distance (null where its group has no estimate) and kept."""
+    """Per document: the base statistics, base_failed, distance (null where they failed) and kept."""
     stats = statistics(docs)
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.regexp_replace(c, r"\|", "||")), F.lit("-"))
     stats = stats.withColumn("_lang", name("lang")).withColumn("_own", F.concat(name("lang"), F.lit("|."), name("source")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = written(stats.withColumn("base_failed", failed), "stats")
-    sizes = stats.where("not base_failed").groupBy("_lang", "_own").agg(F.count("*").alias("_n"))
+    sizes = written(stats.where("not base_failed").groupBy("_lang", "_own").agg(F.count("*").alias("_n")), "sizes")
     pools = sizes.where(F.col("_n") < MIN_ROWS).groupBy(F.col("_lang").alias("_l2")).agg(F.sum("_n").alias("_pool"))
+    left = pools.where(F.col("_pool") < MIN_ROWS).agg(F.sum("_pool")).first()[0] or 0
     groups = sizes.join(pools, F.col("_lang") == F.col("_l2"), "left").select(
-        F.col("_own").alias("_o2"), F.when(F.col("_n") >= MIN_ROWS, F.col("_own")).when(F.col("_pool") >= MIN_ROWS, F.col("_lang")).alias("grp")
+        F.col("_own").alias("_o2"), F.when(F.col("_n") >= MIN_ROWS, F.col("_own")).when(F.col("_pool") >= MIN_ROWS, F.col("_lang")).otherwise(REST).alias("grp")
     )
     rows = stats.join(groups, F.col("_own") == F.col("_o2"), "left").drop("_o2")
-    slim = written(rows.where("not base_failed and grp is not null").select("grp", *X), "vectors")
+    slim = rows.where("not base_failed").select("grp", *X)
+    if 0 < left < MIN_ROWS:
+        slim = slim.where(F.col("grp") != REST).unionByName(slim.withColumn("grp", F.lit(REST)))
+    slim = written(slim, "vectors")
     model = fit(slim)
     out = rows.join(model, F.col("grp") == F.col("grp2"), "left")
     d2 = F.when(~F.col("base_failed"), distance() / F.greatest(F.col("scale"), F.lit(1.0)))
     out = out.withColumn("distance", d2)
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= most * most))
+    kept = ~F.col("base_failed") & (F.col("distance") <= most * most)
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round(F.sqrt("distance"), 3).alias("distance"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamsift.llm import decontam, sanitise
+from loamsift.llm import decontam, outliers, sanitise
 from tests.llm.data import prose
 
 
@@ -24,3 +24,12 @@ def test_every_item_of_a_template_is_found(spark):
     out = {r.doc_id: (r.contaminated, r["items"], r.verbatim) for r in decontam.find(df, bench).collect()}
     assert out[0] == out[1] == (True, "1", True) and out[2] == (True, "1", False)
     assert not {1, 2} & {r.doc_id for r in decontam.keep_clean(df, bench).collect()}
+
+
+def test_small_groups_are_judged(spark):
+    junk = lambda i: " ".join(f"{w}%%%###" for w in prose(i, 120).split())
+    few = [(i, prose(i, 120), ("de", "fr", None)[i % 3], "a") for i in range(60)] + [(1000 + i, junk(i), ("de", "fr", None)[i % 3], "b") for i in range(3)]
+    for rows in (few, few + [(2000 + i, prose(2000 + i, 120), "en", "a") for i in range(400)]):
+        out = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+        assert all(r.distance is not None for r in out if not r.base_failed)
+        assert {r.doc_id for r in out if not r.kept} == {1000, 1001, 1002}
