@@ -33,3 +33,16 @@ def test_small_groups_are_judged(spark):
         out = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
         assert all(r.distance is not None for r in out if not r.base_failed)
         assert {r.doc_id for r in out if not r.kept} == {1000, 1001, 1002}
+
+
+def test_short_and_wordless_items_are_found_verbatim(spark):
+    items = [
+        "the copper kettle sang", "12 + 7 = 19 and 19 - 4 = 15 , 15 * 3 = 45 , 45 / 9 = 5", "THE QUICK BROWN FOX JUMPED OVER ONE VERY LAZY DOG THAT SLEPT IN THE SUN ALL DAY",
+        "Anna Berg 4 km, Bruno Castle 9 km, Clara Dome 12 km, Diego Elm 30 km, Emil Frost 7 km, Greta Hill 2 km", "so Anna Bruno Clara met 4 then 5 kg", "Zebras",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"{prose(i, 30)} and {t} {prose(i + 20, 30)}") for i, t in enumerate(items)] + [(10 + i, f"{prose(i, 30)}. {t}. {prose(i + 20, 30)}") for i, t in enumerate(items)]
+    rows += [(20, prose(3, 80)), (21, "12 + 8 = 20 and 20 - 4 = 16 , 16 * 3 = 48 , 48 / 8 = 6"), (22, "the copper kettle")]
+    out = {r.doc_id: r for r in decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert all(out[k + i]["items"] == str(i) and out[k + i].verbatim for i in range(len(items)) for k in (0, 10))
+    assert not any(out[i].contaminated for i in (20, 21, 22))
