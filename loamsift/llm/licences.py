@@ -2,7 +2,8 @@
 
 Texts are lower-cased (A-Z) and cut to words of ASCII letters and digits and of anything beyond ASCII. The automaton
 holds notice phrases and the identifier tag, both with blanks around, and runs over the words joined by one blank; a
-match's word number is the number of blanks before it. A tag's expression is read from the text behind it.
+match's word number is the number of blanks before it. A tag's expression is read from the text
+behind it, up to the next tag or the line's end.
 
 Defined cases: null or empty texts have no words, labels or places and score 0; a malformed expression gives the label
 ``unparsed``; repeated rows are scanned each; extra columns don't matter.
@@ -26,7 +27,8 @@ NOTICES = {
     "permission is hereby granted free of charge": "mit-text", "the unlicense": "unlicense", "bsd 3 clause": "bsd-3", "bsd 2 clause": "bsd-2", "public domain": "public-domain",
 }
 TAG = "spdx license identifier"
-EXPRESSION = re.compile(r"spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier[^0-9a-z\n(]*([^\n\"'<>*]*)", re.I)
+MARK = r"spdx[^0-9a-z\n]+license[^0-9a-z\n]+identifier"
+EXPRESSION = re.compile(MARK + r"[^0-9a-z\n(]*((?:(?!(?<![0-9a-z])" + MARK + r"(?![0-9a-z]))[^\n\"'<>*])*+)", re.I)
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "zlib", "cc0", "unlicense", "cc-by-4", "cc-by-3", "0bsd", "public-domain", "python", "boost", "bsl-1")
 RANK = {"or": 1, "and": 2, "with": 3}
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))

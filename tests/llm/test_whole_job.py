@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamsift.llm import decontam, outliers, sanitise
+from loamsift.llm import decontam, licences, outliers, sanitise
 from tests.llm.data import prose
 
 
@@ -46,3 +46,8 @@ def test_short_and_wordless_items_are_found_verbatim(spark):
     out = {r.doc_id: r for r in decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert all(out[k + i]["items"] == str(i) and out[k + i].verbatim for i in range(len(items)) for k in (0, 10))
     assert not any(out[i].contaminated for i in (20, 21, 22))
+
+
+def test_every_tag_of_a_line_is_read():
+    got = licences.scan_text("SPDX-License-Identifier: MIT ... SPDX-License-Identifier: GPL-3.0-only", licences.automaton())
+    assert got[5] == "gpl-3.0-only,mit" and got[7] == "mit;gpl-3.0-only;restricted"
