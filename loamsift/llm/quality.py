@@ -40,7 +40,7 @@ class Grams(dict):
         if place == len(self.word):
             self.word, self.shape = np.resize(self.word, 2 * place), np.resize(self.shape, 2 * place)
         self.word[place] = xxhash.xxh3_64_intdigest(word.lower())
-        self.shape[place] = xxhash.xxh3_64_intdigest(RUN.sub(rb"\1", word[:64].translate(SHAPE)), seed=1)
+        self.shape[place] = xxhash.xxh3_64_intdigest(RUN.sub(rb"\1", word.translate(SHAPE)), seed=1)
         return place
 
 

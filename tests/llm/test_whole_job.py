@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamsift.llm import decontam, licences, outliers, sanitise
+from loamsift.llm import decontam, licences, outliers, quality, sanitise
 from tests.llm.data import prose
 
 
@@ -51,3 +51,9 @@ def test_short_and_wordless_items_are_found_verbatim(spark):
 def test_every_tag_of_a_line_is_read():
     got = licences.scan_text("SPDX-License-Identifier: MIT ... SPDX-License-Identifier: GPL-3.0-only", licences.automaton())
     assert got[5] == "gpl-3.0-only,mit" and got[7] == "mit;gpl-3.0-only;restricted"
+
+
+def test_shapes_reach_a_word_s_end():
+    memo = quality.Grams()
+    a, b = (memo[("日" * 30 + x).encode()] for x in "a9")
+    assert memo.shape[a] != memo.shape[b]
