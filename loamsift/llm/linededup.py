@@ -5,8 +5,11 @@ anywhere in the corpus are found by hash (128 bits); all but the first occurrenc
 and position, are removed: the raw lines from a later window's first to its last, overlapping windows merged. The earliest
 copy of a line is never inside a later window, so no line vanishes from the corpus.
 
+With ``short``, runs of one or two lines that hold ``MIN_WORDS`` words are windows too, and so is a whole text of one or
+two lines, whatever it holds. The SQL is that of three-line windows alone, so this is off unless asked for.
+
 Defined cases: rows equal in id and text are one document and are treated alike; null ids come last; null texts stay
-null and empty texts empty, as they have no windows; texts of one or two lines have no windows either; a text all of
+null and empty texts empty, as they have no windows; without ``short`` texts of one or two lines have no windows either; a text all of
 whose lines are removed becomes empty; an empty table gives an empty result; extra columns are carried whatever their
 names.
 """
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loamsift.llm.kernel import as_bytes, map_arrow, written
 
-WINDOW = 3
+WINDOW, MIN_WORDS = 3, 50
 
 
 def content_lines(b: bytes) -> list[tuple[int, bytes]]:
@@ -29,7 +32,16 @@ def content_lines(b: bytes) -> list[tuple[int, bytes]]:
     return [(i, x) for i, x in enumerate(line.strip() for line in b.split(b"\n")) if x]
 
 
-def windows(docs: DataFrame) -> DataFrame:
+def runs(lines: list[tuple[int, bytes]], short: bool) -> list[tuple[int, int]]:
+    """First line of each window, as a place in lines, and how many it has."""
+    out = [(k, WINDOW) for k in range(len(lines) - WINDOW + 1)]
+    if short:
+        words = [len(x.split()) for _, x in lines]
+        out += [(k, n) for n in range(1, WINDOW) for k in range(len(lines) - n + 1) if n == len(lines) or sum(words[k : k + n]) >= MIN_WORDS]
+    return out
+
+
+def windows(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs: doc_id, key, text -> a row for each window: hash (two halves), document, first and last raw line."""
 
     def make():
@@ -37,13 +49,13 @@ def windows(docs: DataFrame) -> DataFrame:
             a, b, rows, first, last = [], [], [], [], []
             for r, text in enumerate(batch.column("text").to_pylist()):
                 lines = content_lines(as_bytes(text))
-                for k in range(len(lines) - WINDOW + 1):
-                    d = xxhash.xxh3_128_intdigest(b"\n".join([x for _, x in lines[k : k + WINDOW]]))
+                for k, n in runs(lines, short):
+                    d = xxhash.xxh3_128_intdigest(b"\n".join([x for _, x in lines[k : k + n]]))
                     a.append((d >> 64) - (1 << 63))
                     b.append((d & ((1 << 64) - 1)) - (1 << 63))
                     rows.append(r)
                     first.append(lines[k][0])
-                    last.append(lines[k + WINDOW - 1][0])
+                    last.append(lines[k + n - 1][0])
             if not rows:
                 return None
             at = pa.array(rows)
@@ -54,9 +66,9 @@ def windows(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, "a long, b long, doc long, key long, first int, last int", make)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs: doc_id, key, text -> doc, key and spans (raw lines, ends included) to remove, one row per document."""
-    found = written(windows(docs), "windows")
+    found = written(windows(docs, short), "windows")
     place = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("key").alias("k"), F.col("first").alias("f"))
     firsts = found.groupBy(F.col("a").alias("a2"), F.col("b").alias("b2")).agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p != q")
     later = found.join(firsts, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).where(place != F.col("p"))
@@ -83,12 +95,12 @@ def cut(text: str, spans) -> tuple[str, int]:
     return "\n".join(kept), len(lines) - len(kept)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs with repeated passages removed from their text, and n_lines and n_removed added."""
     names = docs.columns
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
     keyed = keyed.withColumn("hash", F.xxhash64("body"))
-    gone = removals(keyed.select(F.col("id").alias("doc_id"), F.col("hash").alias("key"), F.col("body").alias("text")))
+    gone = removals(keyed.select(F.col("id").alias("doc_id"), F.col("hash").alias("key"), F.col("body").alias("text")), short)
     out = keyed.drop(*[f"c{i}" for i, c in enumerate(names) if c == "text"])
     out = out.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("key")), "left")
 

@@ -22,6 +22,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(table(spark, sf_dir, "documents"), short=True)
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,5 +64,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sanitise, op2_line_dedup, op3_decontaminate, op4_outliers, op5_toxicity, op6_quality, op7_mix, op8_near_join, op9_licences, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_sanitise, op2_line_dedup, op2_passages, op3_decontaminate, op4_outliers, op5_toxicity, op6_quality, op7_mix, op8_near_join, op9_licences, op10_warc)}
 ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op7_mix": mixing.SQL, "op8_near_join": nearjoin.SQL, "op10_warc": warc.SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamsift.llm import decontam, licences, outliers, quality, sanitise
+from loamsift.llm import decontam, licences, linededup, outliers, quality, sanitise
 from tests.llm.data import prose
 
 
@@ -57,3 +57,11 @@ def test_shapes_reach_a_word_s_end():
     memo = quality.Grams()
     a, b = (memo[("日" * 30 + x).encode()] for x in "a9")
     assert memo.shape[a] != memo.shape[b]
+
+
+def test_short_passages_go(spark):
+    one, two = prose(1, 60), prose(2, 30) + "\n \n" + prose(3, 30)
+    rows = [(1, f"first\n{one}\nlast"), (2, f"other\n{one}\nend"), (3, one), (4, two), (5, f"a\n{two}\nb"), (6, "tiny"), (7, " tiny "), (8, "tiny\nc\nd"), (9, f"tiny\n{prose(4, 30)}\ne"), (10, f"{prose(4, 30)}\nf\ng"), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup(df, short=True).collect()} == {**dict(rows), 2: "other\nend", 3: "", 5: "a\nb", 7: ""}
+    assert {r.doc_id: r.text for r in linededup.dedup(df).collect()} == dict(rows)
