@@ -6,10 +6,9 @@ exactly these, so the hot loops work on encoded text and never on a character at
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
-MEMO_WORDS = 400_000  # words a worker remembers; a full memo starts anew, so memory stays bounded
+MEMO_WORDS = 200_000  # words a worker remembers; a full memo starts anew, so memory stays bounded
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +92,7 @@ def as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes, so that very long texts don't pile up in a worker."""
     if batch.num_rows <= 1 or batch.nbytes <= most:
         yield batch
@@ -117,7 +116,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
@@ -125,24 +124,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is, instead of when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and outlives lost executors.
 
     Frames made from it read it lazily, so it stays until ``discard`` or until the owner of the shared folder empties that.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", "lz4").parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.option("compression", "lz4").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.loamsift_path = path
     return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a written table that no frame in use reads any more, and let go of shuffle files nobody can reach."""
+    """Delete a written table that no frame in use reads any more."""
     jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
     path = jvm.org.apache.hadoop.fs.Path(df.loamsift_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2):  # the first round lets go of the JVM's objects, the second collects them
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.5)
