@@ -4,7 +4,8 @@ A text is a sparse vector of the hashes of its words and neighbouring word pairs
 by its share of the text's grams, so that length says nothing. FTRL-proximal keeps a per-coordinate learning rate and an L1 term that
 leaves most weights zero. A score is the logistic of a sparse dot product.
 
-Bounds: at most ``MAX_ROWS`` labelled texts train it, chosen by a hash of the document's id; every text is scored.
+Bounds: at most ``MAX_ROWS`` labelled texts train it, chosen by a hash of the document's id, one text an id however often
+that is repeated; every text is scored.
 Defined cases: null and empty texts score the bias; ids with several labels are good only if all are; null labels are
 none; without labels all texts score 0.5; repeated rows are scored alike; an empty table gives an empty result; extra
 columns don't matter.
@@ -91,6 +92,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
 
 
 def featurised(docs: DataFrame) -> DataFrame:
+    """lot, id, label and features of one text an id (that of the smallest hash), chosen before anything is gathered."""
+
     def make():
         memo = Grams()
 
@@ -98,11 +101,13 @@ def featurised(docs: DataFrame) -> DataFrame:
             got = [features(t, memo) for t in batch.column("text").to_pylist()]
             sizes = [len(i) for i, _ in got]
             flat = [np.concatenate(c) if got else np.zeros(0) for c in zip(*got)] or [np.zeros(0), np.zeros(0)]
-            return {"lot": batch.column("lot"), "good": batch.column("good"), "i": list_array(sizes, flat[0], pa.int32()), "x": list_array(sizes, flat[1], pa.float32())}
+            return {c: batch.column(c) for c in ("lot", "id", "th", "good")} | {"i": list_array(sizes, flat[0], pa.int32()), "x": list_array(sizes, flat[1], pa.float32())}
 
         return step
 
-    return map_arrow(docs.select("lot", "good", "text"), "lot long, good int, i array<int>, x array<float>", make)
+    rows = map_arrow(docs.select("lot", "id", F.xxhash64("text").alias("th"), "good", "text"), "lot long, id string, th long, good int, i array<int>, x array<float>", make)
+    one = rows.groupBy("lot", "id").agg(F.min("good").alias("good"), F.min_by(F.struct("i", "x"), "th").alias("f"))
+    return one.select("lot", "id", "good", "f.i", "f.x")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -110,11 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id2")).agg(F.min("quality").alias("good"))
     chosen = ids.where(crc_fold(F.col("id2")) != 1).select("id2", "good", F.xxhash64("id2").alias("lot")).orderBy("lot", "id2").limit(MAX_ROWS)
     # at most MAX_ROWS rows of an id and a label: that bound is what makes the broadcast safe
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id2"))
-    table = featurised(rows).toArrow()
-    take = np.argsort(table["lot"].to_numpy(), kind="stable")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id2")).withColumn("id", F.col("id2").cast("string"))
+    table = featurised(rows).sort("lot", "id").toArrow()
     i, x, y = (table[c].combine_chunks() for c in ("i", "x", "good"))
-    sample = [(i[k].values.to_numpy(), x[k].values.to_numpy(), int(y[k].as_py())) for k in take.tolist()]
+    sample = [(i[k].values.to_numpy(), x[k].values.to_numpy(), int(y[k].as_py())) for k in range(len(y))]
     return train(sample) if sample else (np.zeros(1 << BITS, np.float32), 0.0)
 
 

@@ -6,7 +6,7 @@ second part turns negative, its gradient is stepped up again, as the non-negativ
 several positives share, and more than unlabelled texts do, get a weight, so that long texts don't gather noise.
 
 Bounds: at most ``MAX_POSITIVE`` positives and about ``MAX_UNLABELLED`` unlabelled texts train the model, chosen by a
-hash of the document's id; every text is scored. Defined cases: null and empty texts score the model's bias; ids with
+hash of the document's id, one text an id however often that is repeated; every text is scored. Defined cases: null and empty texts score the model's bias; ids with
 several labels are toxic if one says so; null labels are none; without positives all texts score 0; repeated rows are
 scored alike; an empty table gives an empty result; extra columns don't matter.
 """
@@ -79,16 +79,20 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def featurised(docs: DataFrame) -> DataFrame:
+    """id, positive and features of one text an id (that of the smallest hash), chosen before anything is gathered."""
+
     def make():
         slots = Slots()
 
         def step(batch: pa.RecordBatch) -> dict:
             got = [features(t, slots) for t in batch.column("text").to_pylist()]
-            return {"positive": batch.column("positive"), "x": list_array([len(g) for g in got], np.concatenate(got), pa.int32()) if got else []}
+            x = list_array([len(g) for g in got], np.concatenate(got), pa.int32()) if got else []
+            return {"id": batch.column("id"), "th": batch.column("th"), "positive": batch.column("positive"), "x": x}
 
         return step
 
-    return map_arrow(docs.select("positive", "text"), "positive boolean, x array<int>", make)
+    rows = map_arrow(docs.select("id", F.xxhash64("text").alias("th"), "positive", "text"), "id string, th long, positive boolean, x array<int>", make)
+    return rows.groupBy("id").agg(F.max("positive").alias("positive"), F.min_by("x", "th").alias("x"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -104,11 +108,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     lot = F.pmod(F.xxhash64(F.lit("unlabelled"), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000)
     # at most MAX_POSITIVE rows of an id and a flag: that bound is what makes the broadcast safe
     rows = docs.select("doc_id", "text").where(crc_fold(F.col("doc_id")) != 1).join(F.broadcast(chosen), F.col("doc_id") == F.col("id2"), "left")
-    rows = rows.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), lot.alias("lot")).where("positive or lot")
-    table = featurised(rows).toArrow()
-    x, flag = table["x"].to_pylist(), table["positive"].to_pylist()
-    sample = [np.array(r, np.int32) for r in x]
-    positive = [r for r, f in zip(sample, flag) if f][: 2 * MAX_POSITIVE]
+    rows = rows.select(F.col("doc_id").cast("string").alias("id"), "text", F.coalesce("positive", F.lit(False)).alias("positive"), lot.alias("lot")).where("positive or lot")
+    table = featurised(rows).sort("id").toArrow()
+    x, flag = table["x"].combine_chunks(), table["positive"].to_pylist()
+    ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
+    sample = [flat[a:b] for a, b in zip(ends, ends[1:])]
+    positive = [r for r, f in zip(sample, flag) if f]
     unlabelled = [r for r, f in zip(sample, flag) if not f] + positive[: int(len(sample) * share * prior)]
     if not positive or not unlabelled:
         return None
