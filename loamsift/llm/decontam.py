@@ -246,7 +246,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = found.join(owned, (F.col("whash") == F.col("wh")) & (F.col("template") == F.col("tp")))
     pairs = pairs.withColumn("slot", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     lined = pairs.groupBy("doc", "key", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("item_at").alias("n"), by_template(F.col("item_at")).alias("n_t"), F.array_distinct(F.flatten(F.collect_list("slot"))).alias("slot")
+        F.countDistinct("item_at").alias("n"), by_template(F.col("item_at")).alias("n_t"), F.array_distinct(F.flatten(F.collect_set("slot"))).alias("slot")
     )
     values = F.size(F.array_distinct(F.transform("slot", lambda s: s["a"])))
     good = (F.size("slot") == 0) | (values >= MIN_CONSISTENT * F.size("slot"))
