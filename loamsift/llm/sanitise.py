@@ -8,6 +8,11 @@ it stands in the corpus. Pairs seen in fewer than ``MIN_PAIR`` documents are no
 span are no terms there.
 
 As n(t, e) <= n(e), a term of n(t) > N ^ (1 - GENERALISE) n(e) ^ GENERALISE can't reach it; such pairs are never listed.
+Terms are counted among the documents that hold entities first: what is too common or too rare there is never counted in
+the others, and a bitmap of fixed size keeps the rest of the corpus's words out of the shuffle.
+
+Keys and passwords reveal by themselves, whatever stands beside them: a run of 16 characters or more that mixes letters and
+digits, of ``MIN_BITS`` bits of entropy a character, is a secret and is removed.
 
 Defined cases: null text counts as empty; repeated rows count as documents each; an empty table gives an empty result;
 other columns are carried by ``sanitise`` whatever their names, and ignored by ``find``.
@@ -17,7 +22,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,20 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamsift.llm.bitmap import bitmap, may_hold
-from loamsift.llm.kernel import MEMO_WORDS, as_bytes, map_arrow, written
+from loamsift.llm.kernel import MEMO_WORDS, as_bytes, discard, map_arrow, written
 
 MIN_PAIR, GENERALISE, REMOVE = 2, 0.85, 0.98
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+MIN_BITS, MIN_CHANGES = 2.75, 4
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}")
+KEY_ID = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z")
+CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}\"'"
 GENERAL = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
-FOUND = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,stop:int>>, entities array<long>, terms array<long>"
+FOUND = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,stop:int>>, secrets array<struct<start:int,stop:int>>, entities array<long>, terms array<long>"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -80,6 +91,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Spans of keys and passwords: long runs of letters and digits in turn that look drawn at random."""
+    if not any(len(w) > 15 and not w.isalpha() for w in text.split()):
+        return []
+    out = []
+    for m in SECRET.finditer(text):
+        run = m[0]
+        mixed = len(CHANGE.findall(run)) >= MIN_CHANGES and -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values()) >= MIN_BITS
+        if mixed or KEY_ID.match(run):
+            out.append((m.start(), m.end()))
+    return out
+
+
 def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
     """The distinct entities of a text's spans."""
     return list(dict.fromkeys(KINDS[k] + ":" + (text[s:e].lower() if k == 0 else text[s:e] if k == 1 else NOT_DIGIT.sub("", text[s:e])) for k, s, e in spans))
@@ -145,13 +169,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 def findings(docs: DataFrame) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            rows = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms")}
+            rows = {n: [] for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "secrets", "entities", "terms")}
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 for k, n in enumerate(("n_email", "n_ip", "n_card", "n_phone")):
                     rows[n].append(sum(s[0] == k for s in spans))
                 rows["base_sha256"].append(hashlib.sha256(digest(spans).encode()).hexdigest())
                 rows["base"].append([{"kind": k, "start": s, "stop": e} for k, s, e in spans])
+                rows["secrets"].append([{"start": s, "stop": e} for s, e in secrets(text)])
                 rows["entities"].append(signed([hashed(x) for x in entities(text, spans)]))
                 rows["terms"].append(signed([hashed(t) for t in {w.lower() for w, _, _ in places(text, spans)}] if spans else []))
             return {c: batch.column(c) for c in ("doc_id", "text_key")} | rows
@@ -161,15 +186,16 @@ def findings(docs: DataFrame) -> DataFrame:
     return map_arrow(keyed(docs), FOUND, make)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """t2, n_t: documents per term."""
+def term_counts(docs: DataFrame, sent) -> DataFrame:
+    """t2, n_t: documents per term, of the terms that the sent bitmap lets by."""
 
     def make():
-        memo = Terms()
+        memo, bits = Terms(), sent.value
 
-        def step(batch: pa.RecordBatch) -> dict:
+        def step(batch: pa.RecordBatch) -> dict | None:
             got = [memo.of(t) for t in batch.column("text").to_pylist()]
-            return {"t2": np.concatenate(got).view(np.int64) if got else []}
+            got = [h[may_hold(bits, h)] for h in got]
+            return {"t2": np.concatenate(got).view(np.int64)} if any(map(len, got)) else None
 
         return step
 
@@ -186,14 +212,22 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_e = written(held.groupBy(F.col("e").alias("e2")).agg(F.sum("n_docs").alias("n_e")).where((F.col("n_e") >= MIN_PAIR) & (F.col("n_e") < total)), "entities")
     most = lambda n: F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(n, F.lit(GENERALISE)) * (1 + 1e-9)
     top = n_e.agg(F.max("n_e")).first()[0] or 0
-    n_t = term_counts(docs).where((F.col("n_t") >= MIN_PAIR) & (F.col("n_t") <= most(F.lit(float(top)))))
+    there = weight.select("n_docs", F.explode("terms").alias("t3")).groupBy("t3").agg(F.sum("n_docs").alias("n_h"))
+    there = written(there.where((F.col("n_h") >= MIN_PAIR) & (F.col("n_h") <= most(F.lit(float(top))))), "rare")
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(there, "t3"))
+    n_t = term_counts(docs, sent).where(F.col("n_t") <= most(F.lit(float(top)))).join(there, F.col("t2") == F.col("t3"), "left_semi")
     terms = weight.select("text_key", F.explode("terms").alias("t")).join(n_t, F.col("t") == F.col("t2")).select(F.col("text_key").alias("k2"), "t", "n_t")
     both = held.join(n_e, F.col("e") == F.col("e2")).join(terms, F.col("text_key") == F.col("k2")).where(F.col("n_t") <= most(F.col("n_e")))
     scored = both.groupBy("t", "e").agg(F.sum("n_docs").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).where(F.col("n_te") >= MIN_PAIR)
     ic = F.log(F.lit(total) / F.col("n_e"))
     pmi = F.log(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     flagged = scored.select("t", F.least(pmi / ic, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    return written(flagged.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "flagged")
+    out = written(flagged.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "flagged")
+    sent.destroy()
+    discard(there)
+    discard(weight)
+    discard(n_e)
+    return out
 
 
 def standing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -232,22 +266,26 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per document: counts and digest of the base spans, and all spans with the disclosing terms."""
+    """Per document: counts and digest of the base spans, all spans with secrets and disclosing terms, and whether there are any."""
     found = written(findings(docs), "found")
     out = found.drop("entities", "terms").join(term_spans(docs, found), F.col("text_key") == F.col("key2"), "left")
     name = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["stop"]))
     extra = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,disclosure:double>>")), lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["stop"]))
-    n_term = F.coalesce(F.size("terms"), F.lit(0)).cast("long")
-    n_term = F.when(F.col("terms").isNull(), F.lit(0).cast("long")).otherwise(n_term)
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(F.concat(base, extra), ",").alias("spans"), n_term.alias("n_term"))
+    hidden = F.transform("secrets", lambda s: F.concat_ws(":", F.lit("secret"), s["start"], s["stop"]))
+    n_term = F.when(F.col("terms").isNull(), 0).otherwise(F.size("terms")).cast("long")
+    n_secret = F.size("secrets").cast("long")
+    private = (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + n_secret + n_term) > 0
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(F.concat(base, hidden, extra), ",").alias("spans"), n_term.alias("n_term"), n_secret.alias("n_secret"), private.alias("private")
+    )
 
 
 def redact(text: str | None, terms: list[dict] | None) -> str | None:
     """The text with base spans generalised and disclosing terms generalised or removed, the longest span first."""
     if text is None:
         return None
-    marks = [(s, e, GENERAL[KINDS[k]]) for k, s, e in base_spans(text)]
+    marks = [(s, e, GENERAL[KINDS[k]]) for k, s, e in base_spans(text)] + [(s, e, "") for s, e in secrets(text)]
     for t in terms if terms is not None else []:
         word = text[t["start"] : t["stop"]]
         kind = "<NUMBER>" if word.isdigit() else "<NAME>" if word[:1].isupper() else "<TERM>"
@@ -267,5 +305,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = written(findings(docs), "found")
     spans = term_spans(docs, found)
     clean = F.pandas_udf(lambda t, s: pd.Series([redact(a, b) for a, b in zip(t, s)], dtype=object), "string")
-    keyed = docs.withColumn("__text_key", F.md5(F.coalesce(F.col("text"), F.lit("")))).join(spans, F.col("__text_key") == F.col("key2"), "left")
-    return keyed.withColumn("text", clean("text", "terms")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"], F.col("text").alias("body"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    out = flat.join(spans, F.col("key") == F.col("key2"), "left").withColumn("new", clean("body", "terms"))
+    return out.select(*[F.col("new" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)])
