@@ -8,7 +8,7 @@ copy of a line is never inside a later window, so no line vanishes from the corp
 With ``short``, runs of one or two lines that hold ``MIN_WORDS`` words are windows too, and so is a whole text of one or
 two lines, whatever it holds. The SQL is that of three-line windows alone, so this is off unless asked for.
 
-Defined cases: rows equal in id and text are one document and are treated alike; null ids come last; null texts stay
+Defined cases: rows equal in id and text are one document and are treated alike; of different texts of one id that of the smaller hash comes first; null ids come last; null texts stay
 null and empty texts empty, as they have no windows; without ``short`` texts of one or two lines have no windows either; a text all of
 whose lines are removed becomes empty; an empty table gives an empty result; extra columns are carried whatever their
 names.
@@ -95,14 +95,13 @@ def cut(text: str, spans) -> tuple[str, int]:
     return "\n".join(kept), len(lines) - len(kept)
 
 
-def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
-    """docs with repeated passages removed from their text, and n_lines and n_removed added."""
+def shortened(docs: DataFrame, short: bool) -> DataFrame:
+    """docs' columns by place (c0, c1, ...; that of the text is ``body``), the new text, and how many lines there were and went."""
     names = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"], F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
     keyed = keyed.withColumn("hash", F.xxhash64("body"))
     gone = removals(keyed.select(F.col("id").alias("doc_id"), F.col("hash").alias("key"), F.col("body").alias("text")), short)
-    out = keyed.drop(*[f"c{i}" for i, c in enumerate(names) if c == "text"])
-    out = out.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("key")), "left")
+    out = keyed.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("key")), "left")
 
     @F.pandas_udf("text string, n int")
     def shorten(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -113,9 +112,33 @@ def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     out = out.withColumn("cut", shorten(F.when(lost, F.col("body")), F.col("spans")))
     out = out.withColumn("new", F.when(lost, F.col("cut.text")).otherwise(F.col("body")))
     n_lines = F.coalesce(F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    n_removed = F.when(lost, F.col("cut.n")).otherwise(0).cast("long")
+    return out.withColumn("lines", n_lines).withColumn("removed", F.when(lost, F.col("cut.n")).otherwise(0).cast("long"))
+
+
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+    """docs with repeated passages removed from their text, and n_lines and n_removed added.
+
+    Where docs has a column of such a name, that stays and the added one gets as many underscores as it takes.
+    """
+    names = docs.columns
     own = [F.col("new" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)]
-    return out.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    for c, name in (("lines", "n_lines"), ("removed", "n_removed")):
+        while name in names:
+            name += "_"
+        own.append(F.col(c).alias(name))
+    return shortened(docs, short).select(*own)
+
+
+def strip(docs: DataFrame, short: bool = False) -> DataFrame:
+    """docs with repeated passages removed from their text, and n_chars, where there is one, brought up to date.
+
+    A document that loses lines and of which nothing but blanks is left goes whole; empty and null texts stay.
+    """
+    lost = F.col("removed") > 0
+    out = shortened(docs, short).where(~lost | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = lambda c: F.when(lost, F.length("new").cast("long")).otherwise(F.col(c))
+    own = lambda i, c: F.col("new") if c == "text" else n_chars(f"c{i}") if c == "n_chars" else F.col(f"c{i}")
+    return out.select(*[own(i, c).alias(c) for i, c in enumerate(docs.columns)])
 
 
 SQL = r"""
