@@ -6,7 +6,7 @@ match's word number is the number of blanks before it. A tag's expression is rea
 behind it, up to the next tag or the line's end.
 
 Defined cases: null or empty texts have no words, labels or places and score 0; a malformed expression gives the label
-``unparsed``; repeated rows are scanned each; extra columns don't matter.
+``unparsed``, as does a ``with`` between anything but one licence and one exception; repeated rows are scanned each; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,18 +39,20 @@ def parse(expression: str) -> list[str]:
     """Shunting-yard: an SPDX-like expression in postfix order. Raises ValueError if it isn't well formed."""
     out: list[str] = []
     ops: list[str] = []
-    operand = True  # what must come next
+    operand, last = True, ""  # what must come next; the token before
     for token in re.findall(r"[()]|[A-Za-z0-9.+:-]+", expression):
         low = token.lower()
         if low in RANK:
             if operand:
                 raise ValueError("operator without a left side")
+            if low == "with" and (last == ")" or ops[-1:] == ["with"]):
+                raise ValueError("with takes one licence")
             while ops and ops[-1] != "(" and RANK[ops[-1]] >= RANK[low]:
                 out.append(ops.pop())
             ops.append(low)
             operand = True
         elif token == "(":
-            if not operand:
+            if not operand or last == "with":
                 raise ValueError("( after a licence")
             ops.append(token)
         elif token == ")":
@@ -66,6 +68,7 @@ def parse(expression: str) -> list[str]:
                 break  # prose behind the expression
             out.append(low)
             operand = False
+        last = low
     if operand or "(" in ops:
         raise ValueError("it ends early")
     return out + ops[::-1]
