@@ -3,9 +3,10 @@
 Each page becomes a record in a gzipped WARC file (one gzip member a record, one file a task). Of records with equal
 payloads of at least ``MIN_REVISIT`` bytes that with the largest page_id is the response, the others are revisits of
 it. The files are read back one task each; every response's payload is checked against its digest, and the captures are
-sorted by URL key, timestamp and page_id into runs. Runs are merged by k-way loser trees: samples of their keys cut the
-key space into ranges, each range is one task's merge, and the ranges in order are the globally ordered histories.
-Where there are more than ``FAN_IN`` runs, groups of them are merged into longer runs first.
+sorted by URL key, timestamp and page_id into runs. Runs are merged by k-way loser trees: a sample of their keys, of at
+most about ``KEYS``, cuts the key space into ranges, each range is one task's merge, and the ranges in order are the
+globally ordered histories. Where there are more than ``FAN_IN`` runs, groups of them are merged into longer runs first,
+by range as well, so that no level has fewer tasks than the last. The driver knows a name for each file and run.
 
 Defined cases: null html is an empty payload and a null url an empty one; a null page_id never beats another, and where
 all are null, or several share the largest, each of these is a response; an empty table gives an empty history; extra
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loamsift.llm.kernel import map_arrow, shared_folder, written
 
-MIN_REVISIT, FAN_IN, BATCH, SAMPLES, RUN_ROWS, LEVEL = 1000, 128, 2048, 64, 200_000, 4
+MIN_REVISIT, FAN_IN, BATCH, SAMPLES, KEYS, RUN_ROWS, LEVEL = 1000, 128, 2048, 64, 100_000, 200_000, 4
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 CAPTURE = pa.schema([
     ("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -189,7 +190,9 @@ def record_types(pages: DataFrame) -> DataFrame:
     p = p.withColumn("digest", F.sha1(F.coalesce("html", F.lit(""))))
     long = p.where(F.octet_length("html") >= MIN_REVISIT)
     best = long.groupBy(F.col("digest").alias("d2")).agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null").drop("n")
-    out = p.join(best.hint("shuffle_hash"), F.col("digest") == F.col("d2"), "left")
+    # only payloads that may be revisits meet by digest; the others, many of them alike, are spread
+    key = F.when(F.octet_length("html") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    out = p.withColumn("key", key).join(best.hint("shuffle_hash"), F.col("key") == F.col("d2"), "left")
     refers = F.when((F.octet_length("html") >= MIN_REVISIT) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best"))), F.col("best"))
     return out.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -220,7 +223,12 @@ def tasks(pages: DataFrame, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), ddl)
 
 
-def sorted_runs(pages: DataFrame, files: list[str], folder: str) -> list[tuple[str, list[list[str]]]]:
+Run = list[tuple[str, tuple | None, tuple | None]]  # its files in order, each with the keys it begins at and ends before
+
+
+def sorted_runs(pages: DataFrame, files: list[str], folder: str) -> tuple[list[Run], list[tuple]]:
+    """The runs, and a sample of their keys in order."""
+
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             runs, keys = [], []
@@ -242,23 +250,46 @@ def sorted_runs(pages: DataFrame, files: list[str], folder: str) -> list[tuple[s
         return step
 
     table = written(map_arrow(tasks(pages, [(f,) for f in files], "file string"), "run string, keys array<array<string>>", make), "runs")
-    return [(r.run, r["keys"]) for r in table.collect()]
+    total = table.agg(F.sum(F.size("keys"))).first()[0] or 0
+    lot = F.pmod(F.xxhash64("k", "run"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, KEYS / max(1, total))) + 1
+    keys = table.select("run", F.explode("keys").alias("k")).where(lot).select("k").collect()
+    return [[(r.run, None, None)] for r in table.select("run").collect()], sorted(tuple(r.k) for r in keys)
 
 
-def merged_runs(pages: DataFrame, runs: list[tuple[str, list[list[str]]]], folder: str) -> list[tuple[str, list[list[str]]]]:
-    """Groups of ``FAN_IN`` runs merged into one each, until one tree can hold all."""
+def cuts_of(keys: list[tuple], ranges: int) -> list[tuple]:
+    ranges = min(len(keys), max(1, ranges))
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)})
 
-    def make():
-        def step(batch: pa.RecordBatch) -> dict:
-            out = [f"{folder}/runs/{uuid.uuid4().hex}" for _ in range(batch.num_rows)]
-            return {"run": out, "keys": [write_run(o, iter(LoserTree([read_run(r, None, None) for r in group])))[1] for o, group in zip(out, batch.column("group").to_pylist())]}
 
-        return step
+def read_part(run: Run, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    for uri, begin, end in run:
+        if (end is None or low is None or low < end) and (begin is None or high is None or begin < high):
+            yield from read_run(uri, low, high)
 
+
+def merged_runs(pages: DataFrame, runs: list[Run], keys: list[tuple], folder: str) -> list[Run]:
+    """Groups of ``FAN_IN`` runs merged into one each, a task for each group and range, until one tree can hold all."""
+    spark = pages.sparkSession
     while len(runs) > FAN_IN:
-        groups = [([r for r, _ in runs[i : i + FAN_IN]],) for i in range(0, len(runs), FAN_IN)]
-        table = written(map_arrow(tasks(pages, groups, "`group` array<string>"), "run string, keys array<array<string>>", make), "runs")
-        runs = [(r.run, r["keys"]) for r in table.collect()]
+        groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
+        cuts = cuts_of(keys, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // len(groups)))
+        bounds = list(zip([None, *cuts], [*cuts, None]))
+        sent = spark.sparkContext.broadcast(groups)  # names of runs
+
+        def make(sent=sent, bounds=bounds):
+            def step(batch: pa.RecordBatch) -> dict:
+                g, n, out = batch.column("g").to_pylist(), batch.column("n").to_pylist(), []
+                for i, k in zip(g, n):
+                    out.append(f"{folder}/runs/{uuid.uuid4().hex}")
+                    write_run(out[-1], iter(LoserTree([read_part(r, *bounds[k]) for r in sent.value[i]])))
+                return {"g": g, "n": n, "run": out}
+
+            return step
+
+        work = [(i, k) for i in range(len(groups)) for k in range(len(bounds))]
+        made = {(r.g, r.n): r.run for r in written(map_arrow(tasks(pages, work, "g int, n int"), "g int, n int, run string", make), "runs").collect()}
+        runs = [[(made[i, k], *bounds[k]) for k in range(len(bounds))] for i in range(len(groups))]
+        sent.destroy()
     return runs
 
 
@@ -266,25 +297,23 @@ def archive(pages: DataFrame) -> DataFrame:
     """Write, read back and merge: a row per page, with its position in the globally ordered capture histories."""
     spark = pages.sparkSession
     folder = shared_folder(spark)
-    runs = merged_runs(pages, sorted_runs(pages, write_archives(pages, folder), folder), folder)
-    keys = sorted(tuple(k) for _, ks in runs for k in ks)
-    ranges = min(len(keys), max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)})
-    names = [r for r, _ in runs]
+    runs, keys = sorted_runs(pages, write_archives(pages, folder), folder)
+    runs = merged_runs(pages, runs, keys, folder)
+    cuts = cuts_of(keys, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def make():
         def step(batch: pa.RecordBatch) -> dict | None:
             rows, pos = [], []
             for n in batch.column("n").to_pylist():
                 low, high = (cuts[n - 1] if n else None), (cuts[n] if n < len(cuts) else None)
-                for i, row in enumerate(LoserTree([read_run(r, low, high) for r in names])):
+                for i, row in enumerate(LoserTree([read_part(r, low, high) for r in runs])):
                     rows.append(row)
                     pos.append((n << 33) + i)
             return dict(zip(CAPTURE.names, map(list, zip(*rows)))) | {"position": pos} if rows else None
 
         return step
 
-    work = tasks(pages, [(n,) for n in range(len(cuts) + 1)] if names else [], "n long")
+    work = tasks(pages, [(n,) for n in range(len(cuts) + 1)] if runs else [], "n long")
     return map_arrow(work, DDL + ", position long", make).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "position")
 
 
