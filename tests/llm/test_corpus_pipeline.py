@@ -43,7 +43,7 @@ def test_toxic_documents_go(spark, steps):
 
 def test_passages_go(steps):
     rows = [(r.doc_id, r.text, r.h) for r in steps[1].select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
-    cut = naive_lines(rows)
+    cut = naive_lines(rows, short=True)
     want = {i: cut[i, t] for i, t, _ in rows if cut[i, t] == t or WORD.search(cut[i, t])}
     assert dict(texts(steps[2])) == want
     assert all(r.n_chars == len(r.text) for r in steps[2].collect())

@@ -45,7 +45,7 @@ def counted(rows):
 # ---- 1
 def naive_base(text):
     t = text or ""
-    out = [[m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]]
+    out = [[m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t if "@" in t else "")]]  # a long word without @ takes minutes
     out.append([m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))])
     out.append([m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and sanitise.luhn(d)])
     out.append([m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15])
@@ -98,19 +98,23 @@ def test_disclosing_terms(spark, none):
 
 
 # ---- 2
-def naive_lines(rows):
-    """(id, text) -> text without later windows."""
+def naive_lines(rows, short=False):
+    """(id, text) -> text without later windows; short: also runs of one or two lines of 50 words, and whole texts of so few."""
     seen, out = {}, {}
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     for i, t, h in sorted({r for r in rows if r[1] is not None}, key=key):
         lines = t.split("\n")
         full = [(n, x.strip(" \t\n\x0b\x0c\r")) for n, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
         gone = set()
-        for k in range(len(full) - 2):
-            w = tuple(x for _, x in full[k : k + 3])
-            if w in seen:
-                gone |= set(range(full[k][0], full[k + 2][0] + 1))
-            seen.setdefault(w, 1)
+        for n in (3, 2, 1) if short else (3,):
+            for k in range(len(full) - n + 1):
+                w = tuple(x for _, x in full[k : k + n])
+                if n < 3 and n != len(full) and len(WORD.findall(" ".join(w))) < 50:
+                    continue
+                if seen.get(w, (i, h, k)) != (i, h, k):
+                    gone |= set(range(full[k][0], full[k + n - 1][0] + 1))
+                else:
+                    seen[w] = (i, h, k)
         out[i, t] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
     return out
 
@@ -194,18 +198,73 @@ def test_statistics(docs, real, none):
     assert outliers.judge(none).count() == 0
 
 
+def naive_mcd(x):
+    """Centre, inverse scatter and scale of a group, with the quantiles that percentile_approx gives for few rows."""
+    at = lambda v, q: np.sort(v)[max(1, math.ceil(len(v) * q)) - 1]
+    low, mu, high = (np.array([at(c, q) for c in x.T]) for q in (0.25, 0.5, 0.75))
+    inv = np.diag(1 / np.square(np.maximum((high - low) / 1.349, outliers.FLOORS)))
+    was = math.inf
+    for _ in range(outliers.STEPS):
+        d = np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+        near = x[d <= at(d, outliers.HALF)]
+        cov = np.cov(near.T, bias=True).reshape(outliers.D, outliers.D) + np.diag(np.square(outliers.FLOORS))
+        mu, inv, now = near.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+        if abs(now - was) <= outliers.STILL:
+            break
+        was = now
+    return mu, inv, at(np.einsum("ij,jk,ik->i", x - mu, inv, x - mu), 0.5) / outliers.chi2_quantile(0.5, outliers.D)
+
+
 def test_mcd_against_numpy(spark):
     r = np.random.default_rng(0)
     good, bad = r.normal(size=(600, outliers.D)) + 1, r.normal(size=(90, outliers.D)) * 0.3 + 9
     df = spark.createDataFrame([("g", *map(float, x)) for x in np.vstack([good, bad])], "grp string, " + ", ".join(f"{x} double" for x in outliers.X))
     m = outliers.fit(df).first()
-    x = np.vstack([good, bad])
-    mu, cov = np.median(x, 0), np.diag(np.square(np.subtract(*np.percentile(x, [75, 25], 0)) / 1.349))
-    for _ in range(outliers.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
-        near = x[d <= np.sort(d)[math.ceil(len(d) * outliers.HALF) - 1]]
-        mu, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(np.square(outliers.FLOORS))
-    assert np.allclose(m.mu, mu, atol=0.05) and abs(np.array(m.mu) - good.mean(0)).max() < 0.3
+    mu, inv, scale = naive_mcd(np.vstack([good, bad]))
+    assert np.allclose(m.mu, mu) and np.allclose(m.inv, outliers._triangle(inv)) and math.isclose(m.scale, scale) and abs(np.array(m.mu) - good.mean(0)).max() < 0.3
+
+
+def naive_kept(rows):
+    """(id, text, lang, source) -> (id, distance, kept): groups, MCD, distances and cut without Spark."""
+    ids = outliers.Ids()
+    got = [(i, lang, source, s[:5], np.array(s[5:])) for i, t, lang, source in rows for s in [outliers.text_stats(t, ids)]]
+    fine = [g for g in got if not (g[3][0] < 50 or 100 * g[3][4] > 50 * g[3][0])]
+    n = collections.Counter((g[1], g[2]) for g in fine)
+    pool = collections.Counter()
+    for (lang, _), k in n.items():
+        if k < outliers.MIN_ROWS:
+            pool[lang] += k
+    name = lambda lang, source: ("own", lang, source) if n[lang, source] >= outliers.MIN_ROWS else ("pool", lang) if pool[lang] >= outliers.MIN_ROWS else "rest"
+    groups = collections.defaultdict(list)
+    for g in fine:
+        groups[name(g[1], g[2])].append(g[4])
+    if 0 < len(groups["rest"]) < outliers.MIN_ROWS:
+        groups["rest"] = [g[4] for g in fine]
+    model = {k: naive_mcd(np.array(v)) for k, v in groups.items() if v}
+    far = []
+    for g in fine:
+        mu, inv, scale = model[name(g[1], g[2])]
+        far.append((g[0], math.sqrt((g[4] - mu) @ inv @ (g[4] - mu) / max(scale, 1.0))))
+    cut = outliers.cut_of(collections.Counter(math.floor(math.log(max(d * d, 1e-9)) * outliers.BINS / 2) for _, d in far))
+    return sorted((i is None, i or 0, d, d <= cut) for i, d in far)
+
+
+def test_verdicts_against_brute_force(spark, docs, real):
+    junk = [(9000 + i, " ".join(f"{w}%%%###" for w in prose(i, 120).split()), "en", "a") for i in range(6)]
+    many = spark.createDataFrame([(i, prose(i, 60 + i % 90), "en", "ab"[i % 2]) for i in range(500)] + junk, "doc_id long, text string, lang string, source string")
+    for df in (docs, real, many):
+        out = outliers.judge(df).where("not base_failed").collect()
+        want = naive_kept([tuple(r) for r in df.select("doc_id", "text", "lang", "source").collect()])
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.distance, r.kept) for r in out)
+        assert len(got) == len(want) and all(a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 0.001 for a, b in zip(got, want))
+
+
+def test_cut():
+    normal = collections.Counter(np.floor(np.log(np.linalg.norm(np.random.default_rng(1).normal(size=(5000, outliers.D)), axis=1)) * outliers.BINS).astype(int).tolist())
+    assert 5 < outliers.cut_of(normal) < 9 and outliers.cut_of({}) == outliers.cut_of({3: 7}) > 5
+    tail = collections.Counter(np.floor(np.random.default_rng(2).normal(-0.4, 0.94, 5000) * outliers.BINS).astype(int).tolist())
+    tail.update({b: 15 for b in range(int(math.log(15) * outliers.BINS), int(math.log(20) * outliers.BINS))})
+    assert 9 < outliers.cut_of(tail) < 15
 
 
 def test_outliers_are_rejected(spark):
@@ -364,7 +423,7 @@ def test_near_join_real(real, none, docs):
     one = nearjoin.keep_one(docs)
     assert one.columns == docs.columns
     kept = sorted((r.doc_id for r in one.collect()), key=lambda i: (i is None, i))
-    assert kept == [1, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15, 15, 16, 17, None] or set(kept) >= {1, 4, 5, 6, 9, 10, 12, 13, 14, 15, 16} and not {2, 3, 11} & set(kept)
+    assert kept == [1, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15, 15, 16, None]
 
 
 def test_pieces_never_miss():
@@ -380,7 +439,9 @@ def test_pieces_never_miss():
             assert np.intersect1d(nearjoin.keys_of(a, weight), nearjoin.keys_of(b, weight)).size
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1_000_000, 7])
+def test_components(spark, chunk, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     r = random.Random(3)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
     up = {}
@@ -413,7 +474,7 @@ def test_expressions():
     assert licences.parse("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
     assert licences.evaluate(licences.parse("(MIT OR GPL-3.0-only) AND Apache-2.0"))[1] and not licences.evaluate(licences.parse("MIT AND GPL-3.0-only"))[1]
     assert licences.evaluate(licences.parse("GPL-2.0 WITH Classpath-exception-2.0"))[0] == {"gpl-2.0 with classpath-exception-2.0"}
-    for bad in ("MIT OR", "(MIT", "OR MIT", "MIT)", ""):
+    for bad in ("MIT OR", "(MIT", "OR MIT", "MIT)", "", "(MIT OR ISC) WITH x", "MIT WITH (x AND y)", "MIT WITH x WITH y"):
         with pytest.raises(ValueError):
             licences.parse(bad)
     a = licences.automaton()
