@@ -3,38 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loamsift.llm import decontam, linededup, mixing, nearjoin, toxicity
 from loamsift.llm.kernel import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts score the model's bias and stay unless that is above the cut; repeated rows are scored alike;
+    without positive labels nothing goes.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts; a document of which nothing is left but blanks goes whole."""
-    out = linededup.dedup(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    out = out.where(F.col("text").isNull() | ~emptied)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*[n_chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    """Repeated passages of three lines, or of fewer that hold 50 words or a whole text, go from all texts but the first.
+
+    A document of which nothing is left but blanks goes whole. Null and empty texts stay; rows equal in id and text are
+    one document and are cut alike; of copies the smallest id keeps the passage, null ids come last.
+    """
+    return linededup.strip(docs, short=True)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
+    """Of each group of near duplicates the document of the smallest id stays, of equal ids that of the smallest text hash.
+
+    Null, empty and wordless texts are like none and stay; rows equal in id and text leave one row; null ids come last.
+    """
     return nearjoin.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items go."""
+    """Documents that hold benchmark items go. Null and empty texts hold none; repeated rows go or stay together."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, numbered by ``copy``."""
+    """Documents as often as the mix takes them, numbered by ``copy`` (``copy_number`` if documents have a ``copy``).
+
+    Null texts have size 0, a null source is a source, repeated rows are documents each, whatever other columns are called.
+    """
     return mixing.emit(docs)
 
 
