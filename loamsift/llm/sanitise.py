@@ -25,6 +25,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamsift.llm.bitmap import bitmap, may_hold
+from loamsift.llm.bitmap import BITS, bitmap
 from loamsift.llm.kernel import MEMO_WORDS, as_bytes, discard, map_arrow, written
 
 MIN_PAIR, GENERALISE, REMOVE = 2, 0.85, 0.98
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
-MIN_BITS, MIN_CHANGES = 2.75, 4
+MIN_BITS, MIN_CHANGES, MOST_SENT = 2.75, 4, 1 << 20
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -50,6 +51,8 @@ KEY_ID = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z")
 CHANGE = re.compile(r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?()[]{}\"'"
+EDGE_BYTES = EDGES.encode()
+BLANK = " \t\n\x0b\x0c\r"
 GENERAL = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 FOUND = "doc_id long, text_key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,stop:int>>, secrets array<struct<start:int,stop:int>>, entities array<long>, terms array<long>"
 
@@ -109,16 +112,26 @@ def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
     return list(dict.fromkeys(KINDS[k] + ":" + (text[s:e].lower() if k == 0 else text[s:e] if k == 1 else NOT_DIGIT.sub("", text[s:e])) for k, s, e in spans))
 
 
-def places(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of a text's words without the punctuation around them; words that touch a span are no terms."""
+def whole(text: str, word: str) -> Iterator[tuple[int, int]]:
+    """Where a word stands between blanks."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if (not at or text[at - 1] in BLANK) and (end == len(text) or text[end] in BLANK):
+            yield at, end
+        at = text.find(word, end)
+
+
+def places(text: str, spans: list[tuple[int, int, int]], words: list[str] | None = None) -> list[tuple[str, int, int]]:
+    """(term, start, end) of a text's words, or of those given, without the punctuation around them; words that touch a span are no terms."""
     order = sorted((s, e) for _, s, e in spans)
     reach = []  # furthest end of the spans up to each, so that one look tells whether a word touches any
     for s, e in order:
         reach.append(max(e, reach[-1] if reach else 0))
     out = []
-    for m in WORDS.finditer(text):
-        word = m[0].lstrip(EDGES)
-        ws = m.end() - len(word)
+    for start, stop in (m.span() for m in WORDS.finditer(text)) if words is None else (x for w in words for x in whole(text, w)):
+        word = text[start:stop].lstrip(EDGES)
+        ws = stop - len(word)
         word = word.rstrip(EDGES)
         we = ws + len(word)
         i = bisect.bisect_left(order, (we, 0))
@@ -141,20 +154,36 @@ def signed(values: list[int]) -> np.ndarray:
 
 
 class Terms(dict):
-    """Word as it stands -> hash of its term, 0 for bare punctuation; starts anew when full."""
+    """Word as it stands -> hash of its term, 0 for bare punctuation and for terms that aren't sought; starts anew when full.
+
+    sought: the hashes in order, or a bitmap that lets by all of them and few others.
+    """
+
+    def __init__(self, sought: np.ndarray, exact: bool) -> None:
+        self.sought, self.bits = (sought, None) if exact else (None, sought.tobytes())
+
+    def has(self, h: int) -> bool:
+        if self.bits is not None:
+            low = h & ((1 << BITS) - 1)
+            return bool(self.bits[low >> 3] >> (low & 7) & 1)
+        at = int(np.searchsorted(self.sought, np.uint64(h)))
+        return at < len(self.sought) and int(self.sought[at]) == h
 
     def __missing__(self, word: bytes) -> int:
-        term = word.decode("utf-8", "surrogatepass").strip(EDGES).lower()
-        value = self[word] = hashed(term) if term else 0
+        if word.isascii():
+            term = word.strip(EDGE_BYTES).lower()
+        else:
+            term = as_bytes(word.decode("utf-8", "surrogatepass").strip(EDGES).lower())
+        h = xxhash.xxh3_64_intdigest(term) if term else 0
+        value = self[word] = h if h and self.has(h) else 0
         return value
 
-    def of(self, text: str) -> np.ndarray:
-        """Distinct hashes of the text's terms."""
-        if len(self) > MEMO_WORDS:
+    def words(self, text: str) -> list[bytes]:
+        """The text's distinct words whose terms are sought."""
+        if len(self) > 2 * MEMO_WORDS:  # nearly all values are 0, which takes no room
             self.clear()
-        words = set(as_bytes(text).split())
-        h = np.unique(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
-        return h[h != 0]
+        get = self.__getitem__
+        return [w for w in set(as_bytes(text).split()) if get(w)]
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
@@ -190,12 +219,11 @@ def term_counts(docs: DataFrame, sent) -> DataFrame:
     """t2, n_t: documents per term, of the terms that the sent bitmap lets by."""
 
     def make():
-        memo, bits = Terms(), sent.value
+        memo = Terms(sent.value, False)
 
         def step(batch: pa.RecordBatch) -> dict | None:
-            got = [memo.of(t) for t in batch.column("text").to_pylist()]
-            got = [h[may_hold(bits, h)] for h in got]
-            return {"t2": np.concatenate(got).view(np.int64)} if any(map(len, got)) else None
+            out = [h for t in batch.column("text").to_pylist() for h in {memo[w] for w in memo.words(t)}]
+            return {"t2": signed(out)} if out else None
 
         return step
 
@@ -230,25 +258,23 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def standing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """text_key, t3, start, stop: where terms stand that the bitmap lets by."""
+def standing(docs: DataFrame, sent, exact: bool) -> DataFrame:
+    """text_key, t3, start, stop: where the sent terms stand; not exact: those that the sent bitmap lets by."""
 
     def make():
-        memo = Terms()
+        memo = Terms(sent.value, exact)
 
         def step(batch: pa.RecordBatch) -> dict | None:
             rows, t3, start, stop = [], [], [], []
             for r, text in enumerate(batch.column("text").to_pylist()):
-                h = memo.of(text)
-                hit = set(h[may_hold(bits, h)].tolist())
-                if not hit:
+                words = memo.words(text)
+                if not words:
                     continue
-                for word, s, e in places(text, base_spans(text)):
-                    if (x := hashed(word.lower())) in hit:
-                        rows.append(r)
-                        t3.append(x)
-                        start.append(s)
-                        stop.append(e)
+                for word, s, e in places(text, base_spans(text), [w.decode("utf-8", "surrogatepass") for w in words]):
+                    rows.append(r)
+                    t3.append(hashed(word.lower()))
+                    start.append(s)
+                    stop.append(e)
             if not rows:
                 return None
             return {"text_key": batch.column("text_key").take(pa.array(rows)), "t3": signed(t3), "start": start, "stop": stop}
@@ -259,9 +285,14 @@ def standing(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """text_key -> terms: the flagged spans of that text with their disclosure."""
+    """text_key -> terms: the flagged spans of that text with their disclosure.
+
+    Up to ``MOST_SENT`` flagged terms are sent to the tasks, beyond that a bitmap of fixed size; the join decides in either case.
+    """
     flagged = disclosing(docs, found)
-    hits = standing(docs, bitmap(flagged, "t")).distinct().join(flagged, F.col("t3") == F.col("t"))
+    exact = flagged.count() <= MOST_SENT
+    known = np.sort(flagged.select("t").toArrow()["t"].to_numpy().view(np.uint64)) if exact else bitmap(flagged, "t")
+    hits = standing(docs, docs.sparkSession.sparkContext.broadcast(known), exact).distinct().join(flagged, F.col("t3") == F.col("t"))
     return hits.groupBy(F.col("text_key").alias("key2")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("terms"))
 
 

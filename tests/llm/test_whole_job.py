@@ -142,3 +142,11 @@ def test_hot_pieces_are_chained_before_the_shuffle():
                 assert top(int(cid[i])) == top(int(cid[j]))
     heads = [(k, int(n[i]), u) for i, (ks, us) in enumerate(zip(got["hot"].to_pylist(), got["upto"].to_pylist())) for k, u in zip(ks, us)]
     assert sum(k == 1 for k, _, _ in heads) < 10 and max(u for _, _, u in heads) == n.max()
+
+
+def test_many_flagged_terms_take_the_bitmap(spark, monkeypatch):
+    rows = [(i, f"ann@x.org {prose(i, 40)} Zanzibar! {prose(i + 50, 40)} zanzibar") for i in range(20)] + [(i, prose(i, 60)) for i in range(20, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, sanitise.find(df).collect()))
+    monkeypatch.setattr(sanitise, "MOST_SENT", 0)
+    assert sorted(map(tuple, sanitise.find(df).collect())) == want and sum(r[7] for r in want) == 40
