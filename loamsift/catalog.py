@@ -163,7 +163,7 @@ def plan_remaining(spark, d):
     return sinks.remaining(plan, table(spark, d, "events").select(F.col("event_id").alias("plan_index"))).select("plan_index", F.col("_seq").alias("seq"))
 
 
-HASHES, BANDS = 32, 8
+HASHES = 32
 SHINGLES = r"""tk as (select seq, regexp_extract_all(lower(i), '[\p{L}\p{N}_]+') as t from pairs),
 sh as (select distinct seq, array_to_string(t[k:k + 4], ' ') as s from tk, unnest(generate_series(1, greatest(len(t) - 4, 1))) g(k) where len(t) > 0)"""
 SIG = f"""{SHINGLES}, mh as (select seq, h, min(substr(sha256(h || ':' || s), 1, 16)) as m from sh, unnest(generate_series(0, {HASHES - 1})) g(h) group by seq, h)"""
@@ -185,11 +185,6 @@ def near_dup_pairs(spark, d):
     return dedup.near_edges(dedup.signatures(pair_records(spark, d), F.col(INSTRUCTION), 5, HASHES, "sha256"), HASHES, HASHES, 0.03)
 
 
-@query()
-def near_dedup_kept(spark, d):
-    return dedup.NearDedup(num_hashes=HASHES, lsh_bands=BANDS, hash_name="xxhash64").transform(document_records(spark, d), Context()).kept.select(F.col("_seq").alias("doc_id"))
-
-
 @query(
     f"""with {PAIRS}, {SHINGLES}, n as (select seq, count(*) as n from sh group by seq), c as (select a.seq, count(*) as c from sh a join sh b on a.s = b.s and b.seq = a.seq - 2 group by a.seq)
 select n.seq, round(coalesce(c.c, 0)::double / (n.n + m.n - coalesce(c.c, 0)), 6) as jaccard from n join n m on m.seq = n.seq - 2 left join c on c.seq = n.seq"""
@@ -278,19 +273,18 @@ def evol_verdicts(pairs: DataFrame) -> DataFrame:
     return pairs.select("seq", filters.evol_reason(F.col("i"), F.col("p")).alias("reason"))
 
 
+# DuckDB's levenshtein counts bytes: every character beyond ASCII gets a control character of its own (the tables have fewer)
+ONE_BYTE = Pattern("translate({0}, (select coalesce(string_agg(c, '' order by c), '') from beyond), (select coalesce(string_agg(chr(k::int), '' order by c), '') from beyond))")
+
+
 @query(
-    f"""with {PAIRS}, j as (select c.seq, c.i as c, p.i as p from pairs c join pairs p on p.seq = c.seq - 2 where c.i = regexp_replace(c.i, '[^\\x00-\\x7F]', '', 'g') and p.i = regexp_replace(p.i, '[^\\x00-\\x7F]', '', 'g'))
+    f"""with {PAIRS}, beyond as (select c, case when row_number() over (order by c) < 9 then row_number() over (order by c) else row_number() over (order by c) + 5 end as k
+  from (select distinct unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) as c from conversations)),
+j as (select c.seq, c.i as c, p.i as p from pairs c join pairs p on p.seq = c.seq - 2)
 select seq, case when {NORM.format('c')} = {NORM.format('p')} then 'evol_identical_to_parent' when contains(lower(c), 'i cannot') or contains(lower(c), 'i''m unable') or contains(lower(c), 'as an ai') then 'evol_refusal'
-when length({STRIP.format('c')}) < 20 then 'evol_instruction_too_short' when levenshtein(c, p) < 20 then 'evol_edit_distance_too_small' end as reason from j"""
+when length({STRIP.format('c')}) < 20 then 'evol_instruction_too_short' when levenshtein({ONE_BYTE.format('c')}, {ONE_BYTE.format('p')}) < 20 then 'evol_edit_distance_too_small' end as reason from j"""
 )
 def evol_rejection(spark, d):
-    """The pairs in ASCII, where DuckDB's levenshtein, of bytes, agrees with Spark's, of code points."""
-    ascii_ = lambda c: F.col(c) == F.regexp_replace(c, r"[^\x00-\x7F]", "")
-    return evol_verdicts(evol_pairs(spark, d).where(ascii_("i") & ascii_("p")))
-
-
-@query()
-def evol_rejection_all(spark, d):
     """Every pair, whatever its letters."""
     return evol_verdicts(evol_pairs(spark, d))
 
@@ -416,7 +410,14 @@ def elo_pairs(spark, d):
     return aggregates.pairs_of_ranked(_ranked(spark, d), "batch", "ranked")
 
 
-@query()
+@query(
+    """with recursive b as (select o_orderkey % 97 as batch, o_custkey::varchar as c, max(o_totalprice) as p from orders group by 1, 2), r as (select batch, c, row_number() over (partition by batch order by p desc, c) - 1 as k from b),
+g as (select x.c as w, y.c as l, row_number() over (order by x.batch, x.k, y.k) as n from r x join r y on x.batch = y.batch and x.k < y.k where y.k < 5),
+f as (select 0::bigint as n, map_from_entries((select list({'k': c, 'v': 400.0::double}) from (select w as c from g union select l from g))) as e
+  union all select n, map_concat(e, map([w, l], [a + d, b - d])) as e from (select *, 32.0 * (1 - 1 / (1 + pow(10::double, (b - a) / 400))) as d from (select g.n, g.w, g.l, f.e, f.e[g.w] as a, f.e[g.l] as b from f join g on g.n = f.n + 1))),
+z as (select unnest(map_entries(e)) as x from f where n = (select max(n) from f))
+select x.key as id, round(x.value, 2) as elo from z"""
+)
 def elo_ratings(spark, d):
     return aggregates.elo_fold(elo_pairs(spark, d))
 
@@ -448,12 +449,6 @@ def event_windows(spark, d):
     return streams.windowed(table(spark, d, "events"))
 
 
-@query()
-def prompt_generator(spark, d):
-    out = generate.PromptGenerator(50, 2).transform(pair_records(spark, d), Context(model=FakeModel()))
-    return out.kept.select("_seq", "id", INSTRUCTION, RESPONSE, F.col("lineage.parent_ids")[0].alias("parent"))
-
-
 @query(f"with {PAIRS} select seq, 'HELLO ' || sha256(r) as response, 1 as round from pairs")
 def transform_generator(spark, d):
     hello = FakeModel(lambda m: "HELLO " + hashlib.sha256(m[-1]["content"].encode()).hexdigest())
@@ -466,9 +461,3 @@ def evol_round(spark, d):
     deeper = FakeModel(lambda m: f"Compare {hashlib.sha256(m[-1]['content'].encode()).hexdigest()} with its neighbours and give two reasons")
     out = generate.EvolRound(1, 2).transform(pair_records(spark, d), Context(model=deeper))
     return out.kept.select("_seq", INSTRUCTION, F.col("lineage.operator").alias("operator"))
-
-
-@query()
-def taxonomy_generator(spark, d):
-    out = generate.TaxonomyGenerator(tax.check_bundle(TREE), 40).transform(pair_records(spark, d), Context(model=FakeModel()))
-    return out.kept.where("source.type = 'taxonomy'").select("id", INSTRUCTION, F.col("scores.taxonomy_nodes").getItem("origin").alias("path"))

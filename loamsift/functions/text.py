@@ -36,11 +36,14 @@ def sentence_lengths(text: Column) -> Column:
 
 
 def variation(xs: Column) -> Column:
-    """Population standard deviation over mean; 1 for fewer than two values, 0 for a mean of 0."""
-    n = F.size(xs)
-    mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return F.when(n < 2, F.lit(1.0)).when(mean == 0, F.lit(0.0)).otherwise(F.sqrt(var) / mean)
+    """Population standard deviation over mean; 1 for fewer than two values, 0 for a mean of 0. For whole numbers, as sums are exact.
+
+    One aggregate with a finish, so that what makes the array is evaluated once.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    add = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q"))
+    ratio = lambda a: F.sqrt(a["n"] * a["q"] - a["s"] * a["s"]) / a["s"]
+    return F.aggregate(xs, zero, add, lambda a: F.when(a["n"] < 2, F.lit(1.0)).when(a["s"] == 0, F.lit(0.0)).otherwise(ratio(a)))
 
 
 def latin_share(text: Column) -> Column:

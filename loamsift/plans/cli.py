@@ -1,4 +1,4 @@
-"""python -m loamsift.plans.cli --config FILE [--run-id ID] [--resume] [--dry-run]"""
+"""python -m loamsift.plans.cli --config FILE [--run-id ID] [--resume] [--dry-run] [--offline]"""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ def main(argv: Sequence[str] | None = None, spark=None, model=None, embedder=Non
     p.add_argument("--run-id")
     p.add_argument("--resume", action="store_true")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--offline", action="store_true", help="answer prompts with the deterministic stand-in")
     a = p.parse_args(argv)
     try:
         config = C.load(a.config)
@@ -36,6 +37,8 @@ def main(argv: Sequence[str] | None = None, spark=None, model=None, embedder=Non
         if a.dry_run:
             print("\n".join(s.name for s in stages))
             return 0
+        if model is None and not a.offline:
+            raise ValueError("no model: pass one to main(), or --offline for made-up answers")
         report = Runner(spark, root, config, stages, model or FakeModel(), embedder or HashEmbedder()).run(run_id_of(a.run_id, config["run_id"]), a.resume)
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamsift.schema import compat, is_conversation, payload_json
@@ -60,6 +62,24 @@ def write_stage(df: DataFrame, folder: str, dropped: DataFrame | None = None, cl
         clusters.write.mode("overwrite").parquet(f"{folder}/clusters")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names; a single machine may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.gettempdir() + "/loamsift-scratch"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Written to a scratch folder and read again, so that models are asked once and lost executors cost nothing."""
+    path = f"{scratch(df.sparkSession)}/held"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(value: object, path: str) -> None:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path + ".new", "w", encoding="utf-8") as f:

@@ -35,5 +35,5 @@ def test_every_pair_gets_a_verdict(spark, tmp_path):
     rows = [(1, 2 * k + n, role, text) for k, t in enumerate(asked) for n, (role, text) in enumerate((("user", t), ("assistant", "réponse")))]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = sorted(((1000 + 2 * k, reason(asked[k], asked[k - 1])) for k in range(1, len(asked))), key=str)
-    got = sorted(map(tuple, catalog.evol_rejection_all(spark, str(tmp_path)).collect()), key=str)
+    got = sorted(map(tuple, catalog.evol_rejection(spark, str(tmp_path)).collect()), key=str)
     assert got == want and len({r for _, r in want}) == 4

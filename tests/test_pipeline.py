@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from loamsift import catalog
+from loamsift import catalog, catalog_stages  # noqa: F401 (registers more queries)
 from loamsift.models import FakeModel, HashEmbedder
 from loamsift.operators.base import Context, Stage, StageOutput
 from loamsift.plans import cli
@@ -83,6 +83,8 @@ def test_command_line(spark, project, capsys):
     assert cli.main(["--config", str(project / "c.yaml"), "--dry-run"], spark=spark) == 0
     assert "02d_near_dedup" in capsys.readouterr().out
     assert cli.main(["--config", str(project / "none.yaml")], spark=spark) == 1
+    assert cli.main(["--config", str(project / "c.yaml")], spark=spark) == 1 and "no model" in capsys.readouterr().err
+    assert cli.main(["--config", str(project / "c.yaml"), "--offline"], spark=spark) == 0
     assert cli.run_id_of("a", "b") == "a" and cli.run_id_of(None, "b") == "b" and cli.run_id_of(None, None)
 
 
