@@ -348,7 +348,7 @@ def _critic_sql(question: str) -> str:
 
 @query(f"with {PAIRS} select seq, {_critic_sql('Is the response right and useful for the instruction?')} and not {_critic_sql('Is there anything wrong, unsafe or missing in the response?')} as kept from pairs")
 def double_critic(spark, d):
-    out = scoring.DoubleCritic().transform(pair_records(spark, d), Context(model=FakeModel(critic)))
+    out = scoring.DoubleCritic().transform(pair_records(spark, d), Context(model=FakeModel(critic), hold=sinks.held))
     row = lambda df, kept: df.select(F.col("_seq").alias("seq"), F.lit(kept).alias("kept"))
     return row(out.kept, True).unionAll(row(out.dropped, False))
 
@@ -365,7 +365,7 @@ def _lp(prompt: str) -> str:
 select seq, ifd, coalesce(ifd >= 0.05, true) as kept from x"""
 )
 def ifd_filter(spark, d):
-    out = scoring.Ifd(0.05).transform(pair_records(spark, d), Context(model=FakeModel()))
+    out = scoring.Ifd(0.05).transform(pair_records(spark, d), Context(model=FakeModel(), hold=sinks.held))
     row = lambda df, kept: df.select(F.col("_seq").alias("seq"), F.col("scores.ifd").alias("ifd"), F.lit(kept).alias("kept"))
     return row(out.kept, True).unionAll(row(out.dropped, False))
 
@@ -376,7 +376,7 @@ def reward(messages):
 
 @query(f"with {PAIRS}, x as (select seq, floor({UNIT.format('i || chr(31) || r')} * 1000) / 1000 as reward from pairs) select seq, reward, reward >= 0.4 as kept from x")
 def reward_filter(spark, d):
-    out = scoring.RewardScore(0.4).transform(pair_records(spark, d), Context(model=FakeModel(reward)))
+    out = scoring.RewardScore(0.4).transform(pair_records(spark, d), Context(model=FakeModel(reward), hold=sinks.held))
     row = lambda df, kept: df.select(F.col("_seq").alias("seq"), F.col("scores.reward_model").alias("reward"), F.lit(kept).alias("kept"))
     return row(out.kept, True).unionAll(row(out.dropped, False))
 
@@ -422,10 +422,16 @@ def elo_ratings(spark, d):
     return aggregates.elo_fold(elo_pairs(spark, d))
 
 
-@query("select 1500::double as a, 1500::double as b, 1516.0::double as a_new, 1484.0::double as b_new from region limit 1")
+ELO_PAIR = "o as (select o_orderkey, 1000.0::double + o_orderkey % 700 as a, 1000.0::double + o_custkey % 700 as b, (o_orderkey % 3) / 2.0::double as score from orders)"
+
+
+@query(f"with {ELO_PAIR} select o_orderkey, round(a + 32 * (score - 1 / (1 + pow(10, (b - a) / 400))), 6) as a_new, round(b + 32 * (1 - score - 1 / (1 + pow(10, (a - b) / 400))), 6) as b_new from o")
 def elo_update(spark, d):
-    one = table(spark, d, "region").limit(1).select(F.lit(1500.0).alias("a"), F.lit(1500.0).alias("b"))
-    return one.select("a", "b", X.elo_updated(F.col("a"), F.col("b"), F.lit(1.0)).alias("a_new"), X.elo_updated(F.col("b"), F.col("a"), F.lit(0.0)).alias("b_new"))
+    """Wins, draws and losses between ratings of every distance, on every order."""
+    base = lambda c: F.lit(1000.0) + F.col(c) % 700
+    o = table(spark, d, "orders").select("o_orderkey", base("o_orderkey").alias("a"), base("o_custkey").alias("b"), ((F.col("o_orderkey") % 3) / F.lit(2.0)).alias("score"))
+    a, b, won = F.col("a"), F.col("b"), F.col("score")
+    return o.select("o_orderkey", F.round(X.elo_updated(a, b, won), 6).alias("a_new"), F.round(X.elo_updated(b, a, 1 - won), 6).alias("b_new"))
 
 
 @query("select lang, count(*) as n, min(length(text)) as min_chars, max(length(text)) as max_chars, round(avg(length(text)), 4) as mean_chars, median(length(text)) as median_chars from documents group by lang")
@@ -452,12 +458,12 @@ def event_windows(spark, d):
 @query(f"with {PAIRS} select seq, 'HELLO ' || sha256(r) as response, 1 as round from pairs")
 def transform_generator(spark, d):
     hello = FakeModel(lambda m: "HELLO " + hashlib.sha256(m[-1]["content"].encode()).hexdigest())
-    out = generate.TransformGenerator().transform(pair_records(spark, d), Context(model=hello))
+    out = generate.TransformGenerator().transform(pair_records(spark, d), Context(model=hello, hold=sinks.held))
     return out.kept.select(F.col("_seq").alias("seq"), F.col(RESPONSE).alias("response"), "lineage.round")
 
 
 @query()
 def evol_round(spark, d):
     deeper = FakeModel(lambda m: f"Compare {hashlib.sha256(m[-1]['content'].encode()).hexdigest()} with its neighbours and give two reasons")
-    out = generate.EvolRound(1, 2).transform(pair_records(spark, d), Context(model=deeper))
+    out = generate.EvolRound(1, 2).transform(pair_records(spark, d), Context(model=deeper, hold=sinks.held))
     return out.kept.select("_seq", INSTRUCTION, F.col("lineage.operator").alias("operator"))

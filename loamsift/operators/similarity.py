@@ -14,42 +14,43 @@ from loamsift.functions import text as X
 from loamsift.operators.base import Context, Stage, StageOutput, split
 from loamsift.schema import INSTRUCTION, RESPONSE, is_conversation
 
-BLOCK = 4096
+BLOCK = 512  # with 64 numbers a vector, a pair of blocks is half a megabyte
 
 
-def max_similarity(rows: DataFrame, seeds: DataFrame, key: str, vector: str, seed_vector: str | None = None) -> DataFrame:
-    """key, best: each row's largest cosine with any seed.
-
-    The seeds are a query set held against all rows in blocks: each block of unit vectors is one binary value, rows meet
-    the blocks in an Arrow batch and one matrix product, and the maximum is aggregated. Blocks are dealt over the rows'
-    partitions as a nested-loop join streams them, so neither side has to fit in memory.
-    """
-    seed_vector = seed_vector or vector
+def packed(df: DataFrame, key: str | None, vector: str) -> DataFrame:
+    """Unit vectors in blocks of up to ``BLOCK``: ids (if there is a key), dim and the matrix as one binary value. Null vectors are left out."""
+    kind = df.schema[key].dataType.simpleString() if key else "long"
 
     def pack(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
-                v = [x for x in batch.column(0).slice(start, BLOCK).to_pylist() if x is not None]
-                if v:
-                    m = np.asarray(v, np.float64)
+                part = batch.slice(start, BLOCK)
+                part = part.filter(part.column(1).is_valid())
+                if part.num_rows:
+                    m = np.asarray(part.column(1).to_pylist(), np.float64)
                     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-                    yield pa.record_batch([pa.array([m.shape[1]]), pa.array([m.tobytes()])], names=["dim", "block"])
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                    yield pa.record_batch([ids, pa.array([m.shape[1]]), pa.array([m.tobytes()])], names=["ids", "dim", "block"])
+
+    return df.select(F.col(key) if key else F.lit(0).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(pack, f"ids array<{kind}>, dim long, block binary")
 
-    blocks = seeds.select(F.col(seed_vector)).mapInArrow(pack, "dim long, block binary")
+
+def max_similarity(rows: DataFrame, seeds: DataFrame, key: str, vector: str, seed_vector: str | None = None) -> DataFrame:
+    """key, best: each row's largest cosine with any seed.
+
+    The seeds are a query set held against all rows in blocks: both sides are packed into blocks of unit vectors, and a
+    pair of blocks is one row of the join and one matrix product; the maximum is aggregated. Neither side has to fit in memory.
+    """
 
     def compare(batches):
         for batch in batches:
-            v = np.asarray(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            best = np.full(batch.num_rows, -2.0)
-            for block in set(batch.column(2).to_pylist()):
-                mine = np.array([b == block for b in batch.column(2).to_pylist()])
-                best[mine] = (v[mine] @ np.frombuffer(block).reshape(-1, v.shape[1]).T).max(1)
-            yield pa.record_batch([batch.column(0), pa.array(best)], names=[key, "b"])
-
-    met = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("v")).join(blocks)
+            for ids, dim, a, b in zip(batch.column(0), *(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                best = (np.frombuffer(a).reshape(-1, dim) @ np.frombuffer(b).reshape(-1, dim).T).max(1)
+                yield pa.record_batch([ids.values, pa.array(best)], names=[key, "b"])
+
     kind = rows.schema[key].dataType.simpleString()
-    return met.select(key, "v", "block").mapInArrow(compare, f"`{key}` {kind}, b double").groupBy(key).agg(F.max("b").alias("best"))
+    met = packed(rows, key, vector).join(packed(seeds, None, seed_vector or vector).select(F.col("block").alias("seeds")))
+    return met.select("ids", "dim", "block", "seeds").mapInArrow(compare, f"`{key}` {kind}, b double").groupBy(key).agg(F.max("b").alias("best"))
 
 
 @dataclass
