@@ -13,6 +13,7 @@ from loamsift.models import FakeModel
 from loamsift.operators import aggregates, dedup, filters, generate, scoring, similarity
 from loamsift.operators import taxonomy as tax
 from loamsift.operators.base import Context
+from loamsift.plans import evaluate
 from loamsift.schema import INSTRUCTION, RESPONSE, SOURCE, fields
 from loamsift.sources import readers, sinks
 
@@ -66,6 +67,15 @@ def export_jsonl(spark, d):
     return seqs.join(back, "_seq").select("seq", F.sha2("m.instruction", 256).alias("instruction"), F.sha2("m.response", 256).alias("response"))
 
 
+@query(f"with {PAIRS}, t as (select 'user: ' || i || chr(10) || 'assistant: ' || r as t from pairs union all select i || chr(10) as t from pairs union all select '{{\"other\":' || seq || '}}' from pairs) select sha256(t) as text, count(*) as n from t group by t")
+def export_texts(spark, d):
+    """Readable texts of exported chats, of lines with an empty response, and of lines that hold neither."""
+    rows = pair_records(spark, d)
+    half = F.to_json(F.struct(F.col(INSTRUCTION).alias("instruction"), F.lit("").alias("response")))
+    lines = rows.select(F.explode(F.array(sinks.line_chatml(), half, F.to_json(F.struct(F.col("_seq").alias("other"))))).alias("value"))
+    return lines.select(F.sha2(evaluate.export_text(F.col("value")), 256).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+
+
 @query(f"with {PAIRS} select seq, {REASON} as reason, sha256(r) as response from pairs")
 def stage_artifacts(spark, d):
     """A stage's data and dropped tables, written and read again."""

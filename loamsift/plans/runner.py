@@ -130,6 +130,7 @@ class Runner:
         report = {
             "run_id": run_id, "status": "failed" if error else "completed", "error": error, "config_hash": self.hash, "final_count": count, "drop_reasons": reasons,
             "stage_yields": [{k: r.get(k) for k in ("stage", "count_in", "count_out", "dropped_count", "status", "resumed")} for r in reports],
+            "stage_drop_reasons": {r["stage"]: r["drop_reasons"] for r in reports if r["drop_reasons"]},
             "quality_distribution": quality[-1] if quality else None, "cost_usd": round(sum(costs), 6) if costs else None, "canaries": self.canaries(folder),
         }
         sinks.write_json(report, f"{folder}/run_report.json")

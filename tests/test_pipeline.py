@@ -10,7 +10,7 @@ import pytest
 from loamsift import catalog, catalog_stages  # noqa: F401 (registers more queries)
 from loamsift.models import FakeModel, HashEmbedder
 from loamsift.operators.base import Context, Stage, StageOutput
-from loamsift.plans import cli
+from loamsift.plans import cli, evaluate
 from loamsift.plans import config as C
 from loamsift.plans.planner import build
 from loamsift.plans.runner import Runner
@@ -88,6 +88,22 @@ def test_command_line(spark, project, capsys):
     assert cli.run_id_of("a", "b") == "a" and cli.run_id_of(None, "b") == "b" and cli.run_id_of(None, None)
 
 
+def test_runs_compared(spark, project):
+    config = C.load(str(project / "c.yaml"))
+    runs = []
+    for name in ("one", "two"):
+        report = Runner(spark, str(project), config, build(spark, config, str(project)), FakeModel(), HashEmbedder()).run(name)
+        runs.append(evaluate.metrics(spark, str(project / "out/data.jsonl"), report, HashEmbedder()))
+    lines = [json.loads(x)["messages"] for x in (project / "out/data.jsonl").read_text().splitlines()]
+    lengths = [len("\n".join(f"{m['role']}: {m['content']}" for m in x)) for x in lines]
+    assert runs[0]["final_count"] == len(lines) and runs[0]["text_chars_max"] == max(lengths) and 0 <= runs[0]["avg_pairwise_cosine_distance"] <= 1
+    text = evaluate.comparison(runs)
+    assert "| number | one | two |" in text and "### two" in text and f"| final_count | {len(lines)} | {len(lines)} |" in text
+    empty = project / "none.txt"
+    empty.write_text("")
+    assert evaluate.metrics(spark, str(empty), {"run_id": "x", "stage_yields": []})["final_count"] == 0
+
+
 def test_streams_match_batch(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/events.parquet")
     table.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
