@@ -125,15 +125,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside go as soon as it is, instead of when the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def shuffles_end(spark: SparkSession):
+    """Shuffle files of what is written inside go as soon as it is, instead of when the driver collects its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """What runs inside goes to Python in batches of so many rows; both sides hold a batch whole, off the heap."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

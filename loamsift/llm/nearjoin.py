@@ -6,8 +6,10 @@ difference has members. Sets of a and b shingles with Jaccard of at least 70 % d
 of their m pieces at least m - D are equal. m is fixed per band of sizes (a document near its band's lower edge also
 enters the band below, where its smaller partners are). By the pigeonhole argument each document needs only its first
 D + 1 pieces in an order common to all: two sets that agree in m - D pieces share one of these. The order puts pieces
-of rare shingles first, as estimated by counters of fixed size from a bounded sample of texts; it decides how much is
-compared, never what is found.
+of rare shingles first. A shingle is as rare as its words make it, or more common if it is counted more often than a
+counter's usual load; words and shingles are counted in all texts, in counters of fixed size. Words tell rare shingles
+from common ones however many there are, and counters those of rare words that many texts repeat. The order decides how
+much is compared, never what is found.
 
 Documents with equal sets are one class from the start. Classes that share a piece form a run. Short runs list their
 pairs (at most ``SHORT`` / 2 rows a member), and a pair whose bit sketches differ in more than D bits goes. Longer runs
@@ -34,13 +36,12 @@ from pyspark.sql import functions as F
 
 from loamsift.llm.bitmap import bitmap, may_hold
 from loamsift.llm.components import components
-from loamsift.llm.kernel import Memo, as_bytes, discard, list_array, map_arrow, mix, shingle_hashes, written
+from loamsift.llm.kernel import Memo, as_bytes, batches_of, discard, list_array, map_arrow, mix, pieces, shingle_hashes, shuffles_end, written
 
 WORDS, RATIO, BLOCK, SKETCH_BLOCK = 3, 8, 256, 2048
 SHORT = 16
 LISTS = ("keys", "hot", "upto", "cu", "cv")
-SAMPLE_DOCS, COUNTERS, SLICE = 65_536, 1 << 24, 1 << 20
-RARITY = np.array([1 + int(1024 * (24 - np.log2(n + 1))) for n in range(256)], np.int64)  # of a counter
+COUNTERS, WORD_COUNTERS, SLICE = 1 << 22, 1 << 21, 1 << 16
 STEP = np.log(1.5)
 
 
@@ -50,6 +51,20 @@ def shingles(text: str | None, memo: Memo) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
+def worded(text: str | None, memo: Memo, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document's set, ascending, and how rare each shingle is by its words."""
+    w = memo.hashes(as_bytes(text).lower().split())
+    h = shingle_hashes(w, WORDS)
+    if not len(h):
+        return h, np.zeros(0, np.int64)
+    bits = words[w & np.uint64(WORD_COUNTERS - 1)].astype(np.int64)
+    rare = np.sum([bits[k : k + len(h)] for k in range(min(WORDS, len(w)))], axis=0)
+    order = np.argsort(h)
+    h, rare = h[order], rare[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    return h[first], rare[first]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -67,15 +82,14 @@ def most_apart(a: int, b: int) -> int:
     return 3 * (a + b) // 17
 
 
-def piece_keys(s: np.ndarray, weight: np.ndarray, edge: int, apart: int) -> np.ndarray:
+def piece_keys(s: np.ndarray, rare: np.ndarray, edge: int, apart: int) -> np.ndarray:
     """The first apart + 1 pieces, in the common order, of the set's sketch in the band from ``edge``."""
     m = max(64, 8 * edge)
     piece = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as s is
     start = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
     xor = np.bitwise_xor.reduceat(s, start)
-    rare = np.add.reduceat(RARITY[weight[s & np.uint64(COUNTERS - 1)]], start)
     keys = mix(xor ^ (piece[start] * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(edge << 40))
-    order = np.lexsort((keys, -rare))
+    order = np.lexsort((keys, -np.add.reduceat(rare, start)))
     if apart + 1 <= len(keys):
         return keys[order[: apart + 1]]
     # too few pieces hold anything: empty pieces come last in the order, by number
@@ -83,55 +97,89 @@ def piece_keys(s: np.ndarray, weight: np.ndarray, edge: int, apart: int) -> np.n
     return np.concatenate((keys[order], mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64(edge << 40) + np.uint64(1))))
 
 
-def keys_of(s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def keys_of(s: np.ndarray, weight: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """weight: by counter, in 1/8 bit; words: by shingle, in 1/256 bit. The lower counts."""
     n = len(s)
     edge = band_of(n)
-    keys = [piece_keys(s, weight, edge, most_apart(n, n * 10 // 7))]
+    rare = 32 * weight[s & np.uint64(COUNTERS - 1)].astype(np.int64)
+    if words is not None:
+        rare = np.minimum(rare, words)
+    keys = [piece_keys(s, rare, edge, most_apart(n, n * 10 // 7))]
     if edge > 1 and 7 * n <= 10 * (edge - 1):  # partners in the band below
-        keys.append(piece_keys(s, weight, edge // RATIO, most_apart(n, edge - 1)))
+        keys.append(piece_keys(s, rare, edge // RATIO, most_apart(n, edge - 1)))
     return np.concatenate(keys)
 
 
-def weights(docs: DataFrame) -> np.ndarray:
-    """Counters (one byte each) of shingles in about ``SAMPLE_DOCS`` documents; only the order of pieces depends on them.
+def counted(docs: DataFrame) -> np.ndarray:
+    """How often words (by ``WORD_COUNTERS`` counters) and shingles (by ``COUNTERS``) stand in all texts, and the number of texts.
 
-    Tasks send sorted counter numbers in slices; each slice is summed in one task and comes to the driver as bytes.
+    A task counts in an array of fixed size and sends that in slices, a byte a counter and larger numbers besides; what
+    a slice sums to comes to the driver as 1024 times its logarithm, in two bytes.
     """
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text")
+    size = WORD_COUNTERS + COUNTERS + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = Memo(), [], 0
+        memo, total = Memo(), np.zeros(size, np.uint32)
 
-        def sent() -> pa.RecordBatch:
-            at, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(at, np.arange(0, COUNTERS + 1, SLICE))
-            parts = [(k, at[i:j].astype(np.int32).tobytes(), np.minimum(n[i:j], 255).astype(np.uint8).tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
-            return pa.record_batch([pa.array(c) for c in zip(*parts)], names=["slice", "at", "n"])
+        def add(at: np.ndarray) -> None:
+            at = np.sort(at.astype(np.int32))
+            start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            total[at[start]] += np.diff(np.append(start, len(at))).astype(np.uint32)
 
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                held.append((shingles(t, memo) & np.uint64(COUNTERS - 1)).astype(np.int64))
-                size += len(held[-1])
-                if size > 2_000_000:
-                    yield sent()
-                    held, size = [], 0
-        if size:
-            yield sent()
-
-    def total(table: pa.Table) -> pa.Table:
-        k, out = table["slice"][0].as_py(), np.zeros(SLICE, np.int64)
-        for at, n in zip(table["at"], table["n"]):
-            out[np.frombuffer(at.as_buffer(), np.int32) - k * SLICE] += np.frombuffer(n.as_buffer(), np.uint8)
-        return pa.table({"slice": [k], "n": [np.minimum(out, 255).astype(np.uint8).tobytes()]})
-
-    table = sample.mapInArrow(count, "slice long, at binary, n binary").groupBy("slice").applyInArrow(total, "slice long, n binary").toArrow()
-    out = np.zeros(COUNTERS, np.uint8)
-    for k, n in zip(table["slice"].to_pylist(), table["n"].to_pylist()):
-        out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(n, np.uint8)
+            for part in pieces(batch):
+                words = [memo.hashes(as_bytes(t).lower().split()) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([len(w) for w in words])
+                h = np.concatenate(words)
+                total[-1] += sum(len(w) > 0 for w in words)
+                if len(h):
+                    add(h & np.uint64(WORD_COUNTERS - 1))
+                if len(h) >= WORDS:
+                    own = np.ones(len(h) - WORDS + 1, bool)
+                    for k in range(1, WORDS):  # no shingle of the end of one text and the start of the next
+                        own[(at := ends - k)[(at >= 0) & (at < len(own))]] = False
+                    if own.any():
+                        add((shingle_hashes(h, WORDS)[own] & np.uint64(COUNTERS - 1)) + np.uint64(WORD_COUNTERS))
+        for k in range(0, size, SLICE) if total[-1] else ():
+            n = total[k : k + SLICE]
+            over = np.flatnonzero(n > 255)
+            yield pa.record_batch([[k // SLICE], [np.minimum(n, 255).astype(np.uint8).tobytes()], [over.astype(np.int32).tobytes()], [(n[over] - 255).tobytes()]], names=["slice", "n", "at", "more"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n, at, more in zip(batch["slice"].to_pylist(), batch["n"], batch["at"], batch["more"]):
+                low = np.frombuffer(n.as_buffer(), np.uint8)
+                out = sums.setdefault(k, np.zeros(len(low), np.int64))
+                out += low
+                out[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(more.as_buffer(), np.uint32)
+        for k, n in sums.items():
+            yield pa.record_batch([[k], [np.round(1024 * np.log2(n + 1)).astype(np.uint16).tobytes()]], names=["slice", "n"])
+
+    spark, out = docs.sparkSession, np.zeros(size, np.uint16)
+    with shuffles_end(spark), batches_of(spark, 250):
+        slices = docs.select("text").mapInArrow(count, "slice long, n binary, at binary, more binary").repartition("slice")
+        table = slices.mapInArrow(total, "slice long, n binary").toArrow()
+    for k, n in zip(table["slice"].to_pylist(), table["n"]):
+        out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(n.as_buffer(), np.uint16)
     return out
 
 
+def weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How rare shingles are by their counters, in 1/8 bit, and words by theirs, in 1/256 bit; only the order of pieces depends on these."""
+    n = np.exp2(counted(docs).astype(np.float32) / 1024) - 1
+    words, shingles, texts = n[:WORD_COUNTERS], n[WORD_COUNTERS:-1], max(float(n[-1]), 1.0)
+    every = max(float(words.sum(dtype=np.float64)), 1.0)
+    # a shingle's bits are the sum of its words', less those of the places that a text has for it
+    by_word = 256 * (np.log2(every / np.maximum(words, 1)) - np.log2(max(every / texts, 1)) / WORDS)
+    load = float(np.median(shingles))
+    more = shingles - load
+    known = more > max(0.5, 4 * load**0.5)
+    weight = np.full(COUNTERS, 255, np.uint8)
+    weight[known] = np.clip(8 * np.log2(texts / more[known]), 0, 254)
+    return weight, np.clip(by_word, 0, 1 << 14).astype(np.int16)
+
+
 def dealt(keys: list[np.ndarray], cid: np.ndarray, n: np.ndarray) -> dict[str, pa.ListArray]:
     """A batch's keys: those of more than ``SHORT`` classes are chained here, and one class for each range of sizes keeps the key.
 
@@ -164,22 +212,22 @@ def dealt(keys: list[np.ndarray], cid: np.ndarray, n: np.ndarray) -> dict[str, p
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text hash, class, set size and the class's keys (once a task, else none), as ``dealt`` gives them."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights(docs))  # COUNTERS numbers, whatever the corpus
+    sent = docs.sparkSession.sparkContext.broadcast(weights(docs))  # of fixed size, whatever the corpus
 
     def make():
-        memo, seen, weight = Memo(), set(), sent.value
+        memo, seen, (weight, words) = Memo(), set(), sent.value
 
         def step(batch: pa.RecordBatch) -> dict:
             if len(seen) > 1_000_000:
                 seen.clear()
             cid, size, sketch, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
-                s = shingles(text, memo)
+                s, rare = worded(text, memo, words)
                 c = signed(xxhash.xxh3_64_intdigest(s.tobytes()))
                 cid.append(c)
                 size.append(len(s))
                 sketch.append(bit_sketch(s))
-                keys.append(keys_of(s, weight).view(np.int64) if len(s) and c not in seen else np.zeros(0, np.int64))
+                keys.append(keys_of(s, weight, rare).view(np.int64) if len(s) and c not in seen else np.zeros(0, np.int64))
                 seen.add(c)
             return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "cid": cid, "n": size, "sketch": sketch} | dealt(keys, np.array(cid, np.int64), np.array(size, np.int32))
 

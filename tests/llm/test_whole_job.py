@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loamsift.llm import decontam, licences, linededup, nearjoin, outliers, quality, sanitise, toxicity
 from tests.llm.data import prose
@@ -150,3 +151,26 @@ def test_many_flagged_terms_take_the_bitmap(spark, monkeypatch):
     want = sorted(map(tuple, sanitise.find(df).collect()))
     monkeypatch.setattr(sanitise, "MOST_SENT", 0)
     assert sorted(map(tuple, sanitise.find(df).collect())) == want and sum(r[7] for r in want) == 40
+
+
+def test_words_and_shingles_are_counted_in_all_texts(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 50}" for j in range(i % 7))) for i in range(300)] + [(300, None), (301, "v " * 400), (301, "v " * 400)]
+    got = np.exp2(nearjoin.counted(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) / 1024) - 1
+    want, memo = np.zeros(nearjoin.WORD_COUNTERS + nearjoin.COUNTERS + 1), nearjoin.Memo()
+    for _, text in rows:
+        h = memo.hashes((text or "").encode().split())
+        np.add.at(want, (h & np.uint64(nearjoin.WORD_COUNTERS - 1)).astype(np.int64), 1)
+        if len(h) >= 3:
+            np.add.at(want, (nearjoin.shingle_hashes(h, 3) & np.uint64(nearjoin.COUNTERS - 1)).astype(np.int64) + nearjoin.WORD_COUNTERS, 1)
+        want[-1] += len(h) > 0
+    assert np.allclose(got, want, rtol=0.001) and want[-1] == 259 and want.max() >= 800
+
+
+def test_unrelated_texts_aren_t_compared_once_counters_are_full(spark, monkeypatch):
+    """As in a table far larger than the counters: common shingles and words that only one text has."""
+    was = nearjoin.weights
+    monkeypatch.setattr(nearjoin, "weights", lambda docs: (np.full_like(was(docs)[0], 255), was(docs)[1]))
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice("abcdefghijklmnopqrst") for _ in range(40)) + " " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("doc_id", "text"))
+    assert nearjoin.runs(nearjoin.signatures(df)).count() == 0
