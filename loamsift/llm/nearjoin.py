@@ -42,6 +42,7 @@ WORDS, RATIO, BLOCK, SKETCH_BLOCK = 3, 8, 256, 2048
 SHORT = 16
 LISTS = ("keys", "hot", "upto", "cu", "cv")
 COUNTERS, WORD_COUNTERS, SLICE = 1 << 22, 1 << 21, 1 << 16
+ROWS = 1000  # of a batch with texts
 STEP = np.log(1.5)
 
 
@@ -234,7 +235,8 @@ def signatures(docs: DataFrame) -> DataFrame:
         return step
 
     lists = ", ".join(f"{c} array<long>" for c in LISTS)
-    out = written(map_arrow(docs, f"doc_id long, th long, cid long, n int, sketch binary, {lists}", make), "signatures")
+    with batches_of(docs.sparkSession, ROWS):
+        out = written(map_arrow(docs, f"doc_id long, th long, cid long, n int, sketch binary, {lists}", make), "signatures")
     sent.destroy()
     return out
 
@@ -471,7 +473,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sent = slim.sparkSession.sparkContext.broadcast(bitmap(nodes, "th"))  # of fixed size; it leaves out nearly all others
     sets = sets_of(slim, sent).join(nodes.select(F.col("cid").alias("c2"), F.col("th").alias("t2")), (F.col("cid") == F.col("c2")) & (F.col("th") == F.col("t2")), "left_semi")
     entries = cells(nodes, BLOCK).join(sets.select(F.col("cid").alias("c2"), "s"), F.col("cid") == F.col("c2")).drop("c2")
-    found = written(links(entries, exact=True), "links")
+    with batches_of(slim.sparkSession, ROWS):
+        found = written(links(entries, exact=True), "links")
     sent.destroy()
     discard(edges)
     discard(nodes)

@@ -174,3 +174,18 @@ def test_unrelated_texts_aren_t_compared_once_counters_are_full(spark, monkeypat
     rows = [(i, " ".join(r.choice("abcdefghijklmnopqrst") for _ in range(40)) + " " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("doc_id", "text"))
     assert nearjoin.runs(nearjoin.signatures(df)).count() == 0
+
+
+def test_texts_come_in_bounded_batches(spark, monkeypatch):
+    """A batch is held whole by the executor and by its Python worker, so it mustn't be 10,000 texts."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    rows = [(i, f"{prose(i, 20)} w{i}") for i in range(60)] + [(100 + i, prose(5, 30 + i % 3)) for i in range(9)]
+    was, default = nearjoin.written, spark.conf.get(key)
+
+    def watch(df, name):
+        seen.append((name, int(spark.conf.get(key))))
+        return was(df, name)
+
+    monkeypatch.setattr(nearjoin, "written", watch)
+    assert nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_similar > 0").count() == 9
+    assert all(dict(seen)[name] <= 1000 for name in ("signatures", "links")) and spark.conf.get(key) == default
