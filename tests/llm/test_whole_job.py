@@ -189,3 +189,12 @@ def test_texts_come_in_bounded_batches(spark, monkeypatch):
     monkeypatch.setattr(nearjoin, "written", watch)
     assert nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_similar > 0").count() == 9
     assert all(dict(seen)[name] <= 1000 for name in ("signatures", "links")) and spark.conf.get(key) == default
+
+
+def test_no_chains_of_unrelated_texts_whatever_the_share_of_a_sample(spark, monkeypatch):
+    """2 % of the texts, as 65,536 are of 6 GB: shingles of some 60 texts each aren't seen in it, and their runs chain everything."""
+    monkeypatch.setattr(nearjoin, "SAMPLE_DOCS", 60, raising=False)
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefghijkl") for _ in range(40)) + " " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("doc_id", "text"))
+    assert nearjoin.runs(nearjoin.signatures(df)).where("chain").count() == 0
