@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loamsift.llm import decontam, licences, linededup, nearjoin, outliers, quality, sanitise, toxicity
 from tests.llm.data import prose
 
@@ -198,3 +199,21 @@ def test_no_chains_of_unrelated_texts_whatever_the_share_of_a_sample(spark, monk
     rows = [(i, " ".join(r.choice("abcdefghijkl") for _ in range(40)) + " " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("doc_id", "text"))
     assert nearjoin.runs(nearjoin.signatures(df)).where("chain").count() == 0
+
+
+def test_pipeline_s_third_stage_compares_few_unrelated_texts(spark, monkeypatch):
+    """As above, through the stage, with two copies that it does find: less than a pair a text."""
+    monkeypatch.setattr(nearjoin, "SAMPLE_DOCS", 40, raising=False)
+    r, seen, was = random.Random(9), [], nearjoin.written
+    rows = [(i, " ".join(r.choice("abcdefghijkl") for _ in range(40)) + " " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(2000)]
+    rows += [(2000, rows[7][1] + " end"), (2001, rows[8][1])]
+
+    def watch(df, name):
+        out = was(df, name)
+        seen.extend([out.count()] if name == "edges" else [])
+        return out
+
+    monkeypatch.setattr(nearjoin, "written", watch)
+    left = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in left.collect()) == list(range(2000))
+    assert seen[0] < 2000
