@@ -1,23 +1,23 @@
-"""N-gram Jaccard join with parity sketches.
-
-A document's set is its distinct 3-word shingles (64-bit hashes). A parity sketch cuts the hash space into m pieces and
-keeps, for each piece, the XOR of the shingles in it: two sketches differ in no more pieces than the sets' symmetric
-difference has members. Sets of a and b shingles with Jaccard of at least 70 % differ in at most D = 3 (a + b) / 17, so
-of their m pieces at least m - D are equal. m is fixed per band of sizes (a document near its band's lower edge also
-enters the band below, where its smaller partners are). By the pigeonhole argument each document needs only its first
-D + 1 pieces in an order common to all: two sets that agree in m - D pieces share one of these. The order puts pieces
-of rare shingles first. A shingle is as rare as its words make it, or more common if it is counted more often than a
-counter's usual load; words and shingles are counted in all texts, in counters of fixed size. Words tell rare shingles
-from common ones however many there are, and counters those of rare words that many texts repeat. The order decides how
-much is compared, never what is found.
-
-Documents with equal sets are one class from the start. Classes that share a piece form a run. Short runs list their
-pairs (at most ``SHORT`` / 2 rows a member), and a pair whose bit sketches differ in more than D bits goes. Longer runs
-are only chained, and what a batch holds of one is chained before the shuffle and sent on as one row for each range of
-sizes, so that a piece of many classes loads no task; the chains' components are cut into blocks of about ``BLOCK`` classes, and pairs of blocks compare
+"""N-gram Jaccard join by prefixes of rare shingles.
+
+A document's set is its distinct 3-word shingles (64-bit hashes). Sets of a <= b shingles with Jaccard of at least 70 %
+share 7 (a + b) / 17 or more, which is at least 14 a / 17 and 7 b / 10. In an order common to all, the first
+a - 14 a / 17 + 1 shingles of the smaller and the first b - 7 b / 10 + 1 of the larger therefore have one in common. So a
+class has the first 18 % of its shingles indexed for larger ones to find, and with the first 30 % it probes for smaller
+ones. The order puts rare shingles first. A shingle is as rare as its words make it, or more common if it is counted
+more often than a counter's usual load; words and shingles are counted in all texts, in counters of fixed size. Words
+tell rare shingles from common ones however many there are, and counters those of rare words that many texts repeat. The
+order decides how much is compared, never what is found.
+
+Documents with equal sets are one class from the start. Classes that share a key form a run. Short runs list their
+pairs (at most ``SHORT`` / 2 rows a member), and a pair whose bit sketches differ in more bits than the sets may goes.
+``SHORT`` is so large that passages which counters don't tell from chance (at a load of 350, as over 6 GB, 75 texts) are
+listed: each connects texts that are otherwise unrelated, and texts with several such passages would chain the corpus.
+Longer runs are only chained, and what a batch holds of one is chained before the shuffle and sent on as one row for each
+range of sizes; the chains' components are cut into blocks of about ``SKETCH_BLOCK`` classes, and pairs of blocks compare
 their bit sketches in memory, which leaves a spanning forest of the pairs that may link. The components of all that is
-left are compared exactly, again in pairs of blocks. So no large group's pairs are ever rows, no partner is skipped,
-and a pair of blocks bounds a task's memory.
+left are compared exactly, again in pairs of blocks, by a row of bits for each class. So no large group's pairs are ever
+rows, no partner is skipped, and a pair of blocks bounds a task's memory.
 
 Defined cases: null or wordless texts have empty sets, are linked with nothing and stand alone; texts of one or two
 words have one shingle; repeated rows are documents each; a null doc_id is counted, but names a component only if all in
@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from loamsift.llm.bitmap import bitmap, may_hold
 from loamsift.llm.components import components
-from loamsift.llm.kernel import Memo, as_bytes, batches_of, discard, list_array, map_arrow, mix, pieces, shingle_hashes, shuffles_end, written
+from loamsift.llm.kernel import Memo, as_bytes, batches_of, discard, list_array, map_arrow, pieces, shingle_hashes, shuffles_end, written
 
-WORDS, RATIO, BLOCK, SKETCH_BLOCK = 3, 8, 256, 2048
-SHORT = 16
-LISTS = ("keys", "hot", "upto", "cu", "cv")
+WORDS, BLOCK, SKETCH_BLOCK = 3, 1024, 2048
+BLOCK_SHINGLES, SKETCH_SHINGLES = 1 << 18, 1 << 22  # of a block, at most, unless one class has more
+SHORT = 128  # classes of a run whose pairs are listed
+LISTS = ("keys", "probes", "hot", "upto", "cu", "cv")
 COUNTERS, WORD_COUNTERS, SLICE = 1 << 22, 1 << 21, 1 << 16
 ROWS = 1000  # of a batch with texts
+MOST_BITS = 1 << 27  # that a cell has for its sets
 STEP = np.log(1.5)
 
 
@@ -70,45 +72,25 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def band_of(n: int) -> int:
-    """Lower edge of the band of sizes [edge, RATIO x edge)."""
-    edge = 1
-    while edge * RATIO <= n:
-        edge *= RATIO
-    return edge
+def indexed(n: np.ndarray) -> np.ndarray:
+    """How many of the rarest shingles of sets of these sizes find partners of any size."""
+    return n - -(-14 * n // 17) + 1
 
 
-def most_apart(a: int, b: int) -> int:
-    """Largest symmetric difference of sets of these sizes that link."""
-    return 3 * (a + b) // 17
-
-
-def piece_keys(s: np.ndarray, rare: np.ndarray, edge: int, apart: int) -> np.ndarray:
-    """The first apart + 1 pieces, in the common order, of the set's sketch in the band from ``edge``."""
-    m = max(64, 8 * edge)
-    piece = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascending, as s is
-    start = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
-    xor = np.bitwise_xor.reduceat(s, start)
-    keys = mix(xor ^ (piece[start] * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(edge << 40))
-    order = np.lexsort((keys, -np.add.reduceat(rare, start)))
-    if apart + 1 <= len(keys):
-        return keys[order[: apart + 1]]
-    # too few pieces hold anything: empty pieces come last in the order, by number
-    empty = np.setdiff1d(np.arange(m, dtype=np.uint64), piece[start])[: apart + 1 - len(keys)]
-    return np.concatenate((keys[order], mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64(edge << 40) + np.uint64(1))))
+def probed(n: np.ndarray) -> np.ndarray:
+    """How many find smaller partners, by what those have indexed."""
+    return n - -(-7 * n // 10) + 1
 
 
 def keys_of(s: np.ndarray, weight: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
-    """weight: by counter, in 1/8 bit; words: by shingle, in 1/256 bit. The lower counts."""
-    n = len(s)
-    edge = band_of(n)
+    """The rarest shingles of an ascending set, rarest first; of equally rare ones the smallest hashes.
+
+    weight: by counter, in 1/8 bit; words: by shingle, in 1/256 bit. The lower counts.
+    """
     rare = 32 * weight[s & np.uint64(COUNTERS - 1)].astype(np.int64)
     if words is not None:
         rare = np.minimum(rare, words)
-    keys = [piece_keys(s, rare, edge, most_apart(n, n * 10 // 7))]
-    if edge > 1 and 7 * n <= 10 * (edge - 1):  # partners in the band below
-        keys.append(piece_keys(s, rare, edge // RATIO, most_apart(n, edge - 1)))
-    return np.concatenate(keys)
+    return s[np.argsort((8192 - rare).astype(np.uint16), kind="stable")[: probed(len(s))]]
 
 
 def counted(docs: DataFrame) -> np.ndarray:
@@ -181,25 +163,31 @@ def weights(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return weight, np.clip(by_word, 0, 1 << 14).astype(np.int16)
 
 
-def dealt(keys: list[np.ndarray], cid: np.ndarray, n: np.ndarray) -> dict[str, pa.ListArray]:
+def dealt(keys: list[np.ndarray], cid: np.ndarray, n: np.ndarray, own: np.ndarray | None = None) -> dict[str, pa.ListArray]:
     """A batch's keys: those of more than ``SHORT`` classes are chained here, and one class for each range of sizes keeps the key.
 
-    keys and the two lists beside it are those of each row: keys of few classes here; hot and upto, keys of many and the
-    largest size in the range; cu and cv, the chain's edges.
+    own: how many of a row's keys are indexed (the first ones; all if not given). keys, probes and the lists beside them
+    are those of each row: indexed keys here and others; hot and upto, keys of many and the largest size in the range;
+    cu and cv, the chain's edges.
     """
     rows = len(keys)
-    flat, owner = np.concatenate(keys) if rows else np.zeros(0, np.int64), np.repeat(np.arange(rows), np.array([len(k) for k in keys], np.int64))
+    lengths = np.array([len(k) for k in keys], np.int64)
+    flat, owner = np.concatenate(keys) if rows else np.zeros(0, np.int64), np.repeat(np.arange(rows), lengths)
+    index = np.ones(len(flat), bool) if own is None else np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < own[owner]
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(flat) else np.zeros(0, np.int64)
     many = np.repeat((size := np.diff(np.append(start, len(flat)))) > SHORT, size)
-    at, rest = order[many], np.sort(order[~many])
-    at = at[np.lexsort((cid[owner[at]], n[owner[at]], flat[at]))]
-    key, who = flat[at], owner[at]
-    same = (key[1:] == key[:-1]) & (7 * n[who[1:]].astype(np.int64) <= 10 * n[who[:-1]].astype(np.int64)) if len(at) else np.zeros(0, bool)
-    head = np.flatnonzero(np.concatenate(([True], ~same))) if len(at) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(at)) - 1 if len(at) else head
-    a, b = cid[who[:-1][same]], cid[who[1:][same]]
+    at, rest = order[many], order[~many]
+    at = at[np.lexsort((cid[owner[at]], ~index[at], n[owner[at]], flat[at]))]
+    key, who, mine = flat[at], owner[at], index[at]
+    last = last_indexed(mine)
+    same = (last >= 0) & (key[last] == key) & (7 * n[who].astype(np.int64) <= 10 * n[who[last]].astype(np.int64))
+    rest = np.sort(np.concatenate((rest, at[~same & ~mine])))  # what only probes, and finds nothing in the batch, goes on as it is
+    key, who, last, mine, same = key[keep := same | mine], who[keep], who[last][keep], mine[keep], same[keep]
+    head = np.flatnonzero(~same)
+    tail = np.append(head[1:], len(key))[: len(head)] - 1
+    a, b = cid[last[same]], cid[who[same]]
 
     def by_row(row: np.ndarray, *values: tuple[np.ndarray, pa.DataType]) -> list[pa.ListArray]:
         turn, lengths = np.argsort(row, kind="stable"), np.bincount(row, minlength=rows)
@@ -207,8 +195,14 @@ def dealt(keys: list[np.ndarray], cid: np.ndarray, n: np.ndarray) -> dict[str, p
 
     long = pa.int64()
     hot, upto = by_row(who[head], (key[head], long), (n[who[tail]].astype(np.int64), long))
-    cu, cv = by_row(who[1:][same], (np.maximum(a, b), long), (np.minimum(a, b), long))
-    return {"keys": by_row(owner[rest], (flat[rest], long))[0], "hot": hot, "upto": upto, "cu": cu, "cv": cv}
+    cu, cv = by_row(who[same], (np.maximum(a, b), long), (np.minimum(a, b), long))
+    (few,), (probes,) = (by_row(owner[x], (flat[x], long)) for x in (rest[index[rest]], rest[~index[rest]]))
+    return {"keys": few, "probes": probes, "hot": hot, "upto": upto, "cu": cu, "cv": cv}
+
+
+def last_indexed(index: np.ndarray) -> np.ndarray:
+    """For each row the last one before it that is indexed, or -1."""
+    return np.concatenate(([-1], np.maximum.accumulate(np.where(index, np.arange(len(index)), -1))[:-1])) if len(index) else np.zeros(0, np.int64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -230,7 +224,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketch.append(bit_sketch(s))
                 keys.append(keys_of(s, weight, rare).view(np.int64) if len(s) and c not in seen else np.zeros(0, np.int64))
                 seen.add(c)
-            return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "cid": cid, "n": size, "sketch": sketch} | dealt(keys, np.array(cid, np.int64), np.array(size, np.int32))
+            n = np.array(size, np.int32)
+            return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "cid": cid, "n": size, "sketch": sketch} | dealt(keys, np.array(cid, np.int64), n, indexed(n.astype(np.int64)))
 
         return step
 
@@ -244,33 +239,50 @@ def signatures(docs: DataFrame) -> DataFrame:
 def runs(sigs: DataFrame) -> DataFrame:
     """u, v, chain: pairs of classes in a short run, neighbours in size of a long one, unless sizes rule a link out.
 
-    Runs are sorted by size, so where neighbours are too far apart no pair across the gap links. A row stands for a range
-    of sizes: of one class, or of many that are chained already.
+    Runs are sorted by size. A class that has the key indexed is paired with all larger ones, unless the key's places rule
+    out that it is the first one in common, and a long run chains each
+    class to the last smaller one that has it indexed; where these are too far apart no pair across the gap links. A row
+    stands for a range of sizes: of one class, or of many that are chained already.
     """
-    span = lambda hi, many: F.shiftleft(F.col("n").cast("long"), 33) + F.shiftleft(hi, 1) + F.lit(many)
-    rows = sigs.where("size(keys) > 0").select(F.explode("keys").alias("key"), span(F.col("n").cast("long"), 0).alias("span"), "cid")
+    span = lambda hi, probe, many: F.shiftleft(F.col("n").cast("long"), 33) + F.shiftleft(hi.cast("long"), 2) + F.lit(2 * probe + many)
+    n_indexed = F.expr("cast(n - (14L * n + 16) div 17 + 1 as long)")  # as indexed()
+
+    def lone(c: str, before, probe: int) -> DataFrame:
+        """With the key's place in the set's order, or less where keys before it are chained already."""
+        return sigs.where(f"size({c}) > 0").select("n", "cid", F.posexplode(c).alias("at", "key")).select("key", span(F.col("at") + before, probe, 0).alias("span"), "cid")
+
     more = sigs.where("size(hot) > 0").select(F.explode(F.arrays_zip("hot", "upto")).alias("x"), "n", "cid")
-    rows = rows.unionAll(more.select("x.hot", span(F.col("x.upto"), 1), "cid"))
-    rows = rows.repartition("key").sortWithinPartitions("key", "span", "cid")
+    rows = lone("keys", F.lit(0), 0).unionAll(lone("probes", n_indexed, 1)).unionAll(more.select("x.hot", span(F.col("x.upto"), 0, 1), "cid"))
+    rows = rows.repartition("key").sortWithinPartitions("key", F.shiftright("span", 33), "cid")  # in the same order in each run, so that long ones have edges in common
 
-    def edges(key: np.ndarray, n: np.ndarray, cid: np.ndarray, upto: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
-        """upto: the largest size so far in the run."""
+    def edges(key: np.ndarray, n: np.ndarray, cid: np.ndarray, upto: np.ndarray, left: np.ndarray, index: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+        """upto: the largest size so far in the run; left: how many shingles a set has from the key on."""
         found = []
+
+        def add(a: np.ndarray, b: np.ndarray, ok: np.ndarray, chain: int) -> None:
+            ok &= cid[a] != cid[b]
+            a, b = cid[a[ok]], cid[b[ok]]
+            found.append(np.stack((np.minimum(a, b), np.maximum(a, b), np.full(len(a), chain)), 1))
+
         for d in range(1, SHORT):
-            i = np.flatnonzero(key[d:] == key[:-d])
+            i = np.flatnonzero((key[d:] == key[:-d]) & ~long[d:])
             if not len(i):
                 break
-            reach = np.where(long[i], upto[i], n[i])
-            i = i[(cid[i] != cid[i + d]) & (10 * reach >= 7 * n[i + d]) & (~long[i] if d > 1 else True)]
-            found.append(np.stack((np.minimum(cid[i], cid[i + d]), np.maximum(cid[i], cid[i + d]), long[i].astype(np.int64)), 1))
+            i = i[index[i]]
+            # the first key that sets have in common leaves each enough for what linked sets share
+            add(i, i + d, (10 * n[i] >= 7 * n[i + d]) & (17 * np.minimum(left[i], left[i + d]) >= 7 * (n[i] + n[i + d])), 0)
+        last = last_indexed(index)
+        i = np.flatnonzero(long & (last >= 0) & (key[last] == key))
+        add(last[i], i, 10 * upto[last[i]] >= 7 * n[i], 1)
         e = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
         return pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(e[:, 2] == 1)], names=["u", "v", "chain"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_long = None, False  # the last run, until its end is seen: all its rows if short, its last if long
+        held, held_long = None, False  # the last run, until its end is seen: all its rows if short, its last indexed one if long
         for batch in batches:
             key, span, cid = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "span", "cid"))
-            now = [key, span >> 33, cid, (span >> 1) & 0xFFFFFFFF, span & 1]
+            n, field, many = span >> 33, (span >> 2) & 0x7FFFFFFF, span & 1
+            now = [key, n, cid, np.where(many, field, n), n - np.where(many, 0, field), (span >> 1) & 1 == 0, many]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             key = now[0]
@@ -278,17 +290,20 @@ def runs(sigs: DataFrame) -> DataFrame:
                 continue
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(start, len(key)))
-            is_long = (size > SHORT) | (np.add.reduceat(now[4], start) > 0)
+            is_long = (size > SHORT) | (np.add.reduceat(now[6], start) > 0)
             is_long[0] |= held_long and held is not None
             base = np.repeat(np.arange(len(start)), size) << 32
             now[3] = np.maximum.accumulate(now[3] + base) - base
             held_long = bool(is_long[-1])
             done = len(key) if held_long else int(start[-1])
             long = np.repeat(is_long, size)
-            yield edges(*(x[:done] for x in now[:4]), long[:done])
-            held = [x[-1:] if held_long else x[done:] for x in now]
+            yield edges(*(x[:done] for x in now[:6]), long[:done])
+            if held_long:
+                mine = np.flatnonzero(now[5][start[-1] :])
+                done = int(start[-1] + mine[-1]) if len(mine) else len(key) - 1
+            held = [x[done : done + 1] if held_long else x[done:] for x in now]
         if held is not None and not held_long:
-            yield edges(*held[:4], np.zeros(len(held[0]), bool))
+            yield edges(*held[:6], np.zeros(len(held[0]), bool))
 
     chained = sigs.where("size(cu) > 0").select(F.explode(F.arrays_zip("cu", "cv")).alias("x")).select("x.cu", "x.cv", F.lit(True))
     return rows.mapInArrow(run, "u long, v long, chain boolean").unionAll(chained).distinct()
@@ -311,16 +326,17 @@ def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(joined.select("u", "v", "na", "nb", "sa", "sb"), "u long, v long", make)
 
 
-def cells(nodes: DataFrame, block: int) -> DataFrame:
-    """nodes: cid, root, n, mult, sketch -> a row for each cell that a class enters, with its side (its block).
+def cells(nodes: DataFrame, block: int, most: int) -> DataFrame:
+    """nodes: cid, th, root, n, mult, sketch -> a row for each cell that a class enters, with its side (its block).
 
-    A component of up to block classes is one cell. A larger one is cut by size steps of 1.5, as classes that link are
+    A block has about block classes and most shingles. A component of up to that is one cell. A larger one is cut by size steps of 1.5, as classes that link are
     at most one step apart, and each step into blocks by hash; a cell is a pair of blocks.
     """
-    size = nodes.groupBy(F.col("root").alias("r2")).agg(F.count("*").alias("c"))
+    needed = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(most))).cast("int")
+    size = nodes.groupBy(F.col("root").alias("r2")).agg(needed.alias("c"))
     nodes = nodes.join(size, F.col("root") == F.col("r2")).drop("r2")
-    nodes = nodes.withColumn("s", F.when(F.col("c") > block, F.floor(F.log(F.col("n").cast("double")) / F.lit(STEP))).otherwise(0).cast("int"))
-    per = nodes.groupBy(F.col("root").alias("r2"), "s").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("nb"))
+    nodes = nodes.withColumn("s", F.when(F.col("c") > 1, F.floor(F.log(F.col("n").cast("double")) / F.lit(STEP))).otherwise(0).cast("int"))
+    per = nodes.groupBy(F.col("root").alias("r2"), "s").agg(needed.alias("nb"))
     per = per.groupBy("r2").agg(F.map_from_entries(F.collect_list(F.struct("s", "nb"))).alias("nb"))  # a root has a few dozen size steps
     nodes = nodes.join(per, F.col("root") == F.col("r2")).drop("r2")
     at = lambda s: F.coalesce(F.try_element_at("nb", s), F.lit(0))
@@ -331,7 +347,7 @@ def cells(nodes: DataFrame, block: int) -> DataFrame:
     within = F.transform(blocks(at(s)), lambda j: spot(s, F.least(b, j), s, F.greatest(b, j)))
     above = F.transform(blocks(at(s + 1)), lambda j: spot(s, b, s + 1, j))
     below = F.transform(blocks(at(s - 1)), lambda j: spot(s - 1, j, s, b))
-    return nodes.select("root", "cid", "n", "mult", "sketch", (F.shiftleft(s.cast("long"), 32) + b).alias("side"), F.explode(F.concat(within, above, below)).alias("spot"))
+    return nodes.select("root", "cid", "th", "n", "mult", "sketch", (F.shiftleft(s.cast("long"), 32) + b).alias("side"), F.explode(F.concat(within, above, below)).alias("spot"))
 
 
 def sets_of(docs: DataFrame, sent) -> DataFrame:
@@ -392,15 +408,9 @@ def linked_in(cid: np.ndarray, n: np.ndarray, mult: np.ndarray, side: np.ndarray
         half[w] = folded(of[w])
     first = {w: int(np.searchsorted(width, w)) for w in of}
     sets = sets and [sets[i] for i in order.tolist()]
+    bits = sets and set_bits(sets)
     two = len(np.unique(side)) > 1
-    up, add = list(range(k)), np.zeros(k, np.int64)
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
+    piece, add = np.arange(k), np.zeros(k, np.int64)
     for i in range(k - 1):
         stop = int(np.searchsorted(7 * n, 10 * n[i], "right"))
         if stop <= i + 1:
@@ -414,27 +424,45 @@ def linked_in(cid: np.ndarray, n: np.ndarray, mult: np.ndarray, side: np.ndarray
         ok = np.concatenate(far) <= 3 * (n[i] + n[i + 1 : stop]) // 17
         if two:
             ok &= side[i + 1 : stop] != side[i]
-        for j in (np.flatnonzero(ok) + i + 1).tolist():
-            if sets:
-                a, b = sets[i], sets[j]
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                if 100 * both < 70 * (len(a) + len(b) - both):
-                    continue
-            add[i] += mult[j]
+        j = np.flatnonzero(ok) + i + 1
+        if sets and len(j):
+            both = np.array([in_both(sets[i], sets[x]) for x in j.tolist()]) if bits is None else np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+            j = j[100 * both >= 70 * (n[i] + n[j] - both)]
+        if len(j):
+            add[i] += mult[j].sum()
             add[j] += mult[i]
-            x, y = top(i), top(j)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    roots = np.array([top(i) for i in range(k)])
+            met = np.unique(np.append(piece[j], piece[i]))
+            if len(met) > 1:
+                piece[np.isin(piece, met)] = met[0]
     least = np.full(k, np.iinfo(np.int64).max)
-    np.minimum.at(least, roots, cid)
+    np.minimum.at(least, piece, cid)
     back, more = np.empty(k, np.int64), np.empty(k, np.int64)
-    back[order], more[order] = least[roots], add
+    back[order], more[order] = least[piece], add
     return back, more
 
 
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def set_bits(sets: list[np.ndarray]) -> np.ndarray | None:
+    """A row of bits for each set, a bit for each shingle that several sets have; none if that takes more than ``MOST_BITS``."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    words = int((times > 1).sum() + 63) // 64
+    if not 0 < 64 * words * len(sets) <= MOST_BITS:
+        return None
+    shared = times[at] > 1
+    at, owner = (np.cumsum(times > 1) - 1)[at[shared]], owner[shared]
+    place = owner * words + at // 64  # ascending, as sets are
+    start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    out = np.zeros(len(sets) * words, np.uint64)
+    out[place[start]] = np.bitwise_or.reduceat(np.uint64(1) << (at % 64).astype(np.uint64), start)
+    return out.reshape(len(sets), words)
+
+
 def links(entries: DataFrame, exact: bool) -> DataFrame:
     """entries: root, spot, side, cid, n, mult, sketch and, if exact, s -> cid, peer, n_linked for those that have links."""
 
@@ -467,12 +495,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = sigs.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.count("*").alias("mult"), F.max("sketch").alias("sketch"), first)
     classes = written(classes.select("cid", "n", "mult", "sketch", "f.doc_id", "f.th"), "classes")
     at_root = lambda roots: classes.join(roots, F.col("cid") == F.col("node")).drop("node")
-    rough = cells(at_root(components(edges.where("chain"))), SKETCH_BLOCK)
+    rough = cells(at_root(components(edges.where("chain"))), SKETCH_BLOCK, SKETCH_SHINGLES).drop("th")
     may = links(rough, exact=False).select(F.col("cid").alias("u"), F.col("peer").alias("v"))
     nodes = written(at_root(components(close(edges.where("not chain"), classes).unionAll(may))), "nodes")
     sent = slim.sparkSession.sparkContext.broadcast(bitmap(nodes, "th"))  # of fixed size; it leaves out nearly all others
-    sets = sets_of(slim, sent).join(nodes.select(F.col("cid").alias("c2"), F.col("th").alias("t2")), (F.col("cid") == F.col("c2")) & (F.col("th") == F.col("t2")), "left_semi")
-    entries = cells(nodes, BLOCK).join(sets.select(F.col("cid").alias("c2"), "s"), F.col("cid") == F.col("c2")).drop("c2")
+    sets = sets_of(slim, sent).select(F.col("cid").alias("c2"), F.col("th").alias("t2"), "s")
+    entries = cells(nodes, BLOCK, BLOCK_SHINGLES).join(sets, (F.col("cid") == F.col("c2")) & (F.col("th") == F.col("t2"))).drop("c2", "t2", "th")
     with batches_of(slim.sparkSession, ROWS):
         found = written(links(entries, exact=True), "links")
     sent.destroy()

@@ -217,3 +217,57 @@ def test_pipeline_s_third_stage_compares_few_unrelated_texts(spark, monkeypatch)
     left = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(x.doc_id for x in left.collect()) == list(range(2000))
     assert seen[0] < 2000
+
+
+def with_passages(texts, passages, times, seed):
+    """Unrelated texts, each with some of the passages, which stand in ``times`` texts each and hold words of their own."""
+    r, held = random.Random(seed), [[] for _ in range(texts)]
+    for p in range(passages):
+        for i in r.sample(range(texts), times):
+            held[i].append(" ".join(f"p{p}x{k}" for k in range(12)))
+    return [(i, " ".join(r.choice("abcdefghijkl") for _ in range(120)) + " " + " ".join(h)) for i, h in enumerate(held)]
+
+
+def test_passages_that_counters_don_t_tell_make_no_chains(spark, monkeypatch):
+    """Over 6 GB a counter's load hides what stands in up to 75 texts; their runs mustn't chain unrelated texts."""
+    was = nearjoin.weights
+    monkeypatch.setattr(nearjoin, "weights", lambda docs: (np.full_like(was(docs)[0], 255), was(docs)[1]))
+    rows = with_passages(1500, 100, 45, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("doc_id", "text"))
+    assert nearjoin.runs(nearjoin.signatures(df)).where("chain").count() == 0
+
+
+def test_linked_sets_share_an_indexed_key():
+    """The smaller set's indexed keys and all keys of the larger one meet, whatever the order."""
+    r = np.random.default_rng(7)
+    weight = r.integers(0, 256, nearjoin.COUNTERS).astype(np.uint8)
+    linked = 0
+    for _ in range(3000):
+        n = int(r.integers(1, 120))
+        own = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        both = int(r.integers(0.7 * n, n + 1))
+        a, b = np.sort(own[:n]), np.sort(np.concatenate((own[:both], own[n : n + int(r.integers(0, n - both + 2))])))
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        if len(a) and 100 * both >= 70 * (len(a) + len(b) - both):
+            linked += 1
+            assert np.intersect1d(nearjoin.keys_of(a, weight)[: nearjoin.indexed(len(a))], nearjoin.keys_of(b, weight)).size
+    assert linked > 500
+
+
+def test_large_clusters_are_compared_by_rows_of_bits(monkeypatch):
+    """Links and pieces as by brute force, and no pair of a large cluster is looked up by itself."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 130, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(130) < 0.9], r.integers(0, 1 << 63, int(r.integers(1, 12)), dtype=np.uint64)))) for _ in range(150)]
+    n, mult, cid = np.array([len(s) for s in sets], np.int32), r.integers(1, 4, 150), r.permutation(150).astype(np.int64)
+    link = lambda i, j: 100 * len(x := np.intersect1d(sets[i], sets[j])) >= 70 * (int(n[i]) + int(n[j]) - len(x))
+    want = [sum(int(mult[j]) for j in range(150) if j != i and link(i, j)) for i in range(150)]
+    args = cid, n, mult, np.zeros(150, np.int64), [nearjoin.bit_sketch(s) for s in sets]
+    slow = nearjoin.MOST_BITS
+    for most in (0, slow):
+        monkeypatch.setattr(nearjoin, "MOST_BITS", most)
+        if most:
+            monkeypatch.setattr(nearjoin, "in_both", None)
+        peer, add = nearjoin.linked_in(*args, sets)
+        assert add.tolist() == want and min(want) < max(want)
+        assert all(peer[i] == peer[j] for i in range(150) for j in range(i) if link(i, j))
