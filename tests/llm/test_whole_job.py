@@ -271,3 +271,20 @@ def test_large_clusters_are_compared_by_rows_of_bits(monkeypatch):
         peer, add = nearjoin.linked_in(*args, sets)
         assert add.tolist() == want and min(want) < max(want)
         assert all(peer[i] == peer[j] for i in range(150) for j in range(i) if link(i, j))
+
+
+def test_pipeline_s_third_stage_doesn_t_chain_texts_with_common_passages(spark, monkeypatch):
+    """As above, through the stage, with a copy that it does find."""
+    weigh, was, chained = nearjoin.weights, nearjoin.written, []
+    monkeypatch.setattr(nearjoin, "weights", lambda docs: (np.full_like(weigh(docs)[0], 255), weigh(docs)[1]))
+    rows = with_passages(1000, 70, 40, 5)
+    rows.append((1000, rows[7][1] + " end"))
+
+    def watch(df, name):
+        out = was(df, name)
+        chained.extend([out.where("chain").count()] if "chain" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(nearjoin, "written", watch)
+    left = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in left.collect()) == list(range(1000)) and chained == [0]
