@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 MEMO_WORDS = 200_000  # words a worker remembers; a full memo starts anew, so memory stays bounded
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of eight, as a mask
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -50,6 +53,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a column of texts, in lower case, and how many words each text has.
+
+    Words are what ``bytes.split()`` finds. They are hashed eight bytes at a time, the first bytes of all words at once, so
+    a word that no task has met before costs no more than others, however many there are.
+    """
+    column = pc.ascii_lower(pc.fill_null(column, ""))
+    kind = np.int32 if pa.types.is_string(column.type) else np.int64
+    ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    raw = np.concatenate((raw, np.full(8, 32, np.uint8)))  # eight bytes can be read from any place
+    word = ~_BLANK[raw]
+    opens, closes = word.copy(), word.copy()
+    opens[1:] &= ~word[:-1]
+    closes[:-1] &= ~word[1:]
+    opens[ends[:-1]] = word[ends[:-1]]  # texts stand side by side
+    last = ends[1:][ends[1:] > 0] - 1
+    closes[last] = word[last]
+    at = np.flatnonzero(opens)
+    size = np.flatnonzero(closes) + 1 - at
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    out, rest, done = size.astype(np.uint64), np.arange(len(at)), 0
+    while len(rest):
+        out[rest] = mix(out[rest] * _ODD + (eight[at[rest] + done] & _FIRST_BYTES[np.minimum(size[rest] - done, 8)]))
+        done += 8
+        rest = rest[size[rest] > done]
+    return out, np.diff(np.searchsorted(at, ends))
+
+
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n-word shingles from word hashes; a shorter, non-empty text is one shingle."""
     if not len(h):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loamsift.llm.bitmap import bitmap, may_hold
 from loamsift.llm.components import components
-from loamsift.llm.kernel import Memo, as_bytes, batches_of, discard, list_array, map_arrow, pieces, shingle_hashes, shuffles_end, written
+from loamsift.llm.kernel import batches_of, discard, list_array, map_arrow, pieces, shingle_hashes, shuffles_end, word_hashes, written
 
 WORDS, BLOCK, SKETCH_BLOCK = 3, 1024, 2048
 BLOCK_SHINGLES, SKETCH_SHINGLES = 1 << 18, 1 << 22  # of a block, at most, unless one class has more
@@ -48,24 +48,28 @@ MOST_BITS = 1 << 27  # that a cell has for its sets
 STEP = np.log(1.5)
 
 
-def shingles(text: str | None, memo: Memo) -> np.ndarray:
-    """The document's set, ascending."""
-    h = np.sort(shingle_hashes(memo.hashes(as_bytes(text).lower().split()), WORDS))
-    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
+class Memo:
+    """Hashes of words in a list, as ``word_hashes`` has them."""
 
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        return word_hashes(pa.array([b" ".join(words)], pa.binary()).cast(pa.string()))[0]
 
-def worded(text: str | None, memo: Memo, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The document's set, ascending, and how rare each shingle is by its words."""
-    w = memo.hashes(as_bytes(text).lower().split())
-    h = shingle_hashes(w, WORDS)
-    if not len(h):
-        return h, np.zeros(0, np.int64)
-    bits = words[w & np.uint64(WORD_COUNTERS - 1)].astype(np.int64)
-    rare = np.sum([bits[k : k + len(h)] for k in range(min(WORDS, len(w)))], axis=0)
-    order = np.argsort(h)
-    h, rare = h[order], rare[order]
-    first = np.concatenate(([True], h[1:] != h[:-1]))
-    return h[first], rare[first]
+
+def shingle_sets(column: pa.Array, words: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The documents' sets, ascending, and, if words' rarities are given, how rare each shingle is by its words."""
+    h, lengths = word_hashes(column)
+    every = shingle_hashes(h, WORDS)
+    bits = None if words is None else words[h & np.uint64(WORD_COUNTERS - 1)].astype(np.int64)
+    rare = None if bits is None else np.sum([bits[k : k + len(every)] for k in range(WORDS)], axis=0) if len(h) >= WORDS else bits
+    for end, k in zip(np.cumsum(lengths).tolist(), lengths.tolist()):
+        own = slice(end - k, end - WORDS + 1)
+        s, r = every[own], None if rare is None else rare[own]
+        if k < WORDS:  # one shingle, of all its words
+            s, r = shingle_hashes(h[end - k : end], WORDS), None if bits is None else np.sum(bits[end - k : end], keepdims=True)[:k]
+        order = np.argsort(s)
+        s = s[order]
+        first = np.concatenate(([True], s[1:] != s[:-1]))[: len(s)]
+        yield s[first], None if r is None else r[order][first]
 
 
 def signed(x: int) -> int:
@@ -102,7 +106,7 @@ def counted(docs: DataFrame) -> np.ndarray:
     size = WORD_COUNTERS + COUNTERS + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = Memo(), np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint32)
 
         def add(at: np.ndarray) -> None:
             at = np.sort(at.astype(np.int32))
@@ -111,10 +115,9 @@ def counted(docs: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for part in pieces(batch):
-                words = [memo.hashes(as_bytes(t).lower().split()) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([len(w) for w in words])
-                h = np.concatenate(words)
-                total[-1] += sum(len(w) > 0 for w in words)
+                h, lengths = word_hashes(part.column("text"))
+                ends = np.cumsum(lengths)
+                total[-1] += np.count_nonzero(lengths)
                 if len(h):
                     add(h & np.uint64(WORD_COUNTERS - 1))
                 if len(h) >= WORDS:
@@ -210,14 +213,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights(docs))  # of fixed size, whatever the corpus
 
     def make():
-        memo, seen, (weight, words) = Memo(), set(), sent.value
+        seen, (weight, words) = set(), sent.value
 
         def step(batch: pa.RecordBatch) -> dict:
             if len(seen) > 1_000_000:
                 seen.clear()
             cid, size, sketch, keys = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s, rare = worded(text, memo, words)
+            for s, rare in shingle_sets(batch.column("text"), words):
                 c = signed(xxhash.xxh3_64_intdigest(s.tobytes()))
                 cid.append(c)
                 size.append(len(s))
@@ -354,14 +356,14 @@ def sets_of(docs: DataFrame, sent) -> DataFrame:
     """The sets of documents (th) that a sent bitmap of the chosen ones lets by: cid, th, s."""
 
     def make():
-        memo, bits = Memo(), sent.value
+        bits = sent.value
 
         def step(batch: pa.RecordBatch) -> dict | None:
             th = batch.column("th").to_numpy()
             rows = np.flatnonzero(may_hold(bits, th.view(np.uint64)))
             if not len(rows):
                 return None
-            got = [shingles(t, memo) for t in batch.column("text").take(pa.array(rows)).to_pylist()]
+            got = [s for s, _ in shingle_sets(batch.column("text").take(pa.array(rows)))]
             cid = [signed(xxhash.xxh3_64_intdigest(s.tobytes())) for s in got]
             return {"cid": cid, "th": th[rows], "s": list_array([len(s) for s in got], np.concatenate(got).view(np.int64), pa.int64())}
 
