@@ -7,6 +7,7 @@ import json
 import os
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +17,41 @@ from loamsift.schema import CHUNK, CONV, CONVERSATION, GROUNDED, LINEAGE, SOURCE
 MAX_CHARS, MAX_BYTES = 16384, 50 << 20
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Adds _f, _b and _m: the file, where in it the part of it starts that one read takes, and a number that ascends within a part and over partitions."""
+    try:
+        at = df.withColumn("_f", F.input_file_name()).withColumn("_b", F.input_file_block_start())
+    except AnalysisException:  # of several sources no file is known
+        at = df.withColumn("_f", F.lit("")).withColumn("_b", F.lit(-1).cast("long"))
+    return at.withColumn("_m", F.monotonically_increasing_id())
+
+
+def _natural(path: str) -> list:
+    """Numbers in a path by size, as part-100000 comes after part-99999."""
+    return [int(x) if k % 2 else x for k, x in enumerate(re.split(r"([0-9]+)", path))]
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """_seq from 0 in file order, or in the given order. Two passes: counts per partition, then offsets; no single task."""
+    """_seq from 0 in file order, or in the given order. Two passes: counts per part, then offsets; no single task.
+
+    Files are packed into partitions by size, so parts of files are put in order by path and place. Ranges are drawn from a
+    sample that is another one in each run, so what is sorted is kept, and counted as it is.
+    """
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    df = df.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r["_p"]: r["n"] for r in df.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a number per partition
-    before, starts = 0, {}
-    for p in sorted(counts):
-        starts[p], before = before, before + counts[p]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_f", F.lit("")).withColumn("_b", F.lit(-1).cast("long")).withColumn("_m", F.monotonically_increasing_id()).persist()
+    elif "_m" not in df.columns:
+        df = placed(df)
+    df = df.withColumn("_p", F.shiftright("_m", 33))
+    parts = df.groupBy("_f", "_b", "_p").agg(F.count("*").alias("n"), F.min("_m").alias("first")).collect()  # a row per part
+    before, starts = 0, []
+    for x in sorted(parts, key=lambda x: (_natural(x["_f"]), x["_b"], x["_p"])):
+        starts.append((x["_f"], x["_b"], x["_p"], before - x["first"]))
+        before += x["n"]
     if not starts:
-        return df.withColumn("_seq", F.lit(0).cast("long")).drop("_p", "_i")
-    start = F.element_at(F.create_map(*[F.lit(x).cast("long") for p in starts for x in (p, starts[p])]), F.col("_p").cast("long"))
-    return df.withColumn("_seq", start + F.col("_i")).drop("_p", "_i")
+        return df.withColumn("_seq", F.lit(0).cast("long")).drop("_f", "_b", "_m", "_p")
+    offsets = df.sparkSession.createDataFrame(starts, "_f string, _b long, _p long, _o long")
+    out = df.join(F.broadcast(offsets), ["_f", "_b", "_p"])
+    return out.withColumn("_seq", F.col("_m") + F.col("_o")).drop("_f", "_b", "_m", "_p", "_o")
 
 
 def seed_records(df: DataFrame, seed_file_hash: str | None = None, config_hash: str | None = None) -> DataFrame:
@@ -62,7 +85,7 @@ def read_seeds(spark: SparkSession, path: str, config_hash: str | None = None, m
             raise ValueError(f"{path} lacks the columns {sorted(missing)}")
     else:
         raw = spark.read.schema("instruction string, response string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    raw = numbered(raw.select("instruction", "response", "_bad").persist())
+    raw = numbered(placed(raw.select("instruction", "response", "_bad")).persist())
     blank = lambda c: F.col(c).isNull() | (F.length(X.strip(F.col(c))) == 0)
     why = F.when(F.col("_bad").isNotNull(), "malformed").when(blank("instruction"), "instruction_missing").when(blank("response"), "response_missing")
     tagged = raw.withColumn("reason", why)
