@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from loamsift.functions import digests
+from loamsift.operators import dedup
 from loamsift.sources import readers
 
 
@@ -21,3 +25,29 @@ def test_numbers_by_order_are_whole_over_many_ranges(spark):
     df = spark.range(n, numPartitions=8).selectExpr("id * 7919 % 1000003 as k")
     got = readers.numbered(df, "k").selectExpr("count(distinct _seq) as d", "min(_seq) as low", "max(_seq) as high").first()
     assert (got["d"], got["low"], got["high"]) == (n, 0, n - 1)
+
+
+def test_salted_minima_are_those_of_hashlib():
+    texts = [b"a", b"a b", b"a b c d e f g", b"x" * 200 + b" y", b"a b c d e f g h " + b"z" * 60]
+    got = digests.minima(texts, 5, 128)
+    for i, text in enumerate(texts):
+        words = text.split()
+        own = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        for k in range(128):
+            assert int(got[i, k]) == min(int.from_bytes(hashlib.sha256(b"%d:" % k + s).digest()[:8]) for s in own)
+    many = b" ".join(b"w%d" % (k * 7919 % 100003) for k in range(9000))  # enough for the arrays
+    words = many.split()
+    want = min(hashlib.sha256(b"12:" + b" ".join(words[k : k + 5])).digest()[:8] for k in range(len(words) - 4))
+    assert int(digests.minima([many], 5, 13)[0, 12]) == int.from_bytes(want)
+
+
+def test_near_dedup_signs_only_what_may_have_a_partner(spark):
+    """128 digests a shingle of every text took more than the time limit over 0.1 GB."""
+    words = lambda seed, n: [f"w{seed}x{k}" for k in range(n)]
+    rows = [(k, " ".join(words(k, 60))) for k in range(200)]
+    rows += [(200, " ".join(words(7, 58))), (201, rows[3][1]), (202, ""), (203, None)]
+    texts = spark.createDataFrame(rows, "_seq long, t string")
+    members, likely = dedup.candidates(texts, 5, digests.sketches_suffice(128, 0.7), lambda x: x.persist())
+    assert sorted(r["_seq"] for r in likely.collect()) == [7, 200]
+    assert {r["_seq"]: r["_class"] for r in members.collect()} == {k: 3 if k == 201 else k for k in range(202)}
+    assert not digests.sketches_suffice(32, 0.03)  # then all are signed
