@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,12 +107,19 @@ def messages(*parts: Column) -> Column:
 def log_probability(model: TextModel, prompt: Column, response: Column) -> Column:
     """Mean log-probability of a response's tokens, to 6 digits; null without tokens."""
 
-    def run(prompts: pd.Series, responses: pd.Series) -> pd.Series:
-        return pd.Series([model.score(p or "", r or "") for p, r in zip(prompts, responses)], dtype=object)
-
-    run.__annotations__ = {"prompts": pd.Series, "responses": pd.Series, "return": pd.Series}
-    lps = F.pandas_udf(run, "array<double>").asNondeterministic()(prompt, response)
-    return F.element_at(F.transform(F.array(lps), lambda x: F.when(F.size(x) > 0, F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x), 6))), 1)
+    def run(prompts: pa.Array, responses: pa.Array) -> pa.Array:
+        totals, counts = [], []
+        for p, r in zip(prompts, responses):  # a row at a time: its numbers go before the next row's are made
+            total, n = 0.0, 0
+            for x in model.score(p.as_py() or "", r.as_py() or ""):
+                total, n = total + x, n + 1  # in order, as sum() rounds otherwise
+            totals.append(total)
+            counts.append(n)
+        return pa.StructArray.from_arrays([pa.array(totals, pa.float64()), pa.array(counts, pa.int64())], ["total", "n"])
+
+    run.__annotations__ = {"prompts": pa.Array, "responses": pa.Array, "return": pa.Array}
+    lps = F.arrow_udf(run, "total double, n long").asNondeterministic()(prompt, response)
+    return F.element_at(F.transform(F.array(lps), lambda x: F.when(x["n"] > 0, F.round(x["total"] / x["n"], 6))), 1)
 
 
 class HashEmbedder:

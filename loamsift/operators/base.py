@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamsift.schema import with_event
+from loamsift.sources.sinks import batches_of
 
 
 @dataclass
@@ -30,7 +31,11 @@ class Context:
     config_hash: str | None = None
 
     def held(self, df: DataFrame) -> DataFrame:
-        return self.hold(df) if self.hold else df
+        """Models and embedders take texts and give lists, so they get few rows at once."""
+        if not self.hold:
+            return df
+        with batches_of(df.sparkSession, 500):
+            return self.hold(df)
 
 
 class Stage:
