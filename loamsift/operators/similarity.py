@@ -13,24 +13,36 @@ from pyspark.sql import functions as F
 from loamsift.functions import text as X
 from loamsift.operators.base import Context, Stage, StageOutput, split
 from loamsift.schema import INSTRUCTION, RESPONSE, is_conversation
+from loamsift.sources.sinks import batches_of, held
 
 BLOCK = 512  # with 64 numbers a vector, a pair of blocks is half a megabyte
+PAIRS = 16  # of blocks in a batch
 
 
 def packed(df: DataFrame, key: str | None, vector: str) -> DataFrame:
     """Unit vectors in blocks of up to ``BLOCK``: ids (if there is a key), dim and the matrix as one binary value. Null vectors are left out."""
     kind = df.schema[key].dataType.simpleString() if key else "long"
 
-    def pack(batches):
+    def full(batches):
+        """Blocks of BLOCK rows, whatever the batches; the last one is shorter."""
+        rest, n = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
-                part = part.filter(part.column(1).is_valid())
-                if part.num_rows:
-                    m = np.asarray(part.column(1).to_pylist(), np.float64)
-                    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                    yield pa.record_batch([ids, pa.array([m.shape[1]]), pa.array([m.tobytes()])], names=["ids", "dim", "block"])
+            part = batch.filter(batch.column(1).is_valid())
+            rest, n = [*rest, part], n + part.num_rows
+            if n >= BLOCK:
+                table = pa.Table.from_batches(rest).combine_chunks()
+                whole = n - n % BLOCK
+                yield from (table.slice(k, BLOCK) for k in range(0, whole, BLOCK))
+                rest, n = [x for x in table.slice(whole).to_batches() if x.num_rows], n - whole
+        if n:
+            yield pa.Table.from_batches(rest)
+
+    def pack(batches):
+        for part in full(batches):
+            m = np.asarray(part.column(1).to_pylist(), np.float64)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+            ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays(part.column(0).chunks))
+            yield pa.record_batch([ids, pa.array([m.shape[1]]), pa.array([m.tobytes()])], names=["ids", "dim", "block"])
 
     return df.select(F.col(key) if key else F.lit(0).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(pack, f"ids array<{kind}>, dim long, block binary")
 
@@ -39,18 +51,21 @@ def max_similarity(rows: DataFrame, seeds: DataFrame, key: str, vector: str, see
     """key, best: each row's largest cosine with any seed.
 
     The seeds are a query set held against all rows in blocks: both sides are packed into blocks of unit vectors, and a
-    pair of blocks is one row of the join and one matrix product; the maximum is aggregated. Neither side has to fit in memory.
+    pair of blocks is one row of the join and one matrix product; the maximum is aggregated. Neither side has to fit in
+    memory. A batch has few pairs, whatever the tables' size, which holds while it runs; so the result is held.
     """
 
     def compare(batches):
         for batch in batches:
-            for ids, dim, a, b in zip(batch.column(0), *(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                best = (np.frombuffer(a).reshape(-1, dim) @ np.frombuffer(b).reshape(-1, dim).T).max(1)
-                yield pa.record_batch([ids.values, pa.array(best)], names=[key, "b"])
+            for k in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[k].as_buffer()).reshape(-1, batch.column(1)[k].as_py()) for c in (2, 3))
+                yield pa.record_batch([batch.column(0)[k].values, pa.array((a @ b.T).max(1))], names=[key, "b"])
 
     kind = rows.schema[key].dataType.simpleString()
     met = packed(rows, key, vector).join(packed(seeds, None, seed_vector or vector).select(F.col("block").alias("seeds")))
-    return met.select("ids", "dim", "block", "seeds").mapInArrow(compare, f"`{key}` {kind}, b double").groupBy(key).agg(F.max("b").alias("best"))
+    best = met.select("ids", "dim", "block", "seeds").mapInArrow(compare, f"`{key}` {kind}, b double").groupBy(key).agg(F.max("b").alias("best"))
+    with batches_of(rows.sparkSession, PAIRS):
+        return held(best)
 
 
 @dataclass

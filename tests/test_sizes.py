@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import functions as F
+
+from loamsift import models
 from loamsift.functions import digests
-from loamsift.operators import dedup
-from loamsift.sources import readers
+from loamsift.operators import base, dedup, similarity
+from loamsift.sources import readers, sinks
 
 
 def test_numbers_follow_files_whatever_their_sizes(spark, tmp_path):
@@ -51,3 +54,37 @@ def test_near_dedup_signs_only_what_may_have_a_partner(spark):
     assert sorted(r["_seq"] for r in likely.collect()) == [7, 200]
     assert {r["_seq"]: r["_class"] for r in members.collect()} == {k: 3 if k == 201 else k for k in range(202)}
     assert not digests.sketches_suffice(32, 0.03)  # then all are signed
+
+
+def test_models_and_pairs_of_blocks_get_small_batches(spark, monkeypatch):
+    """Python held batches of 10,000 rows: of half a megabyte for pairs of blocks, of lists of numbers for log-probabilities."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    default = spark.conf.get(key)
+
+    def hold(df):
+        seen.append(int(spark.conf.get(key)))
+        return df
+
+    assert base.Context(hold=hold).held(spark.range(1)).count() == 1
+    monkeypatch.setattr(similarity, "held", hold)
+    similarity.max_similarity(spark.createDataFrame([(1, [1.0, 0.0])], "k long, v array<double>"), spark.createDataFrame([([1.0, 1.0],)], "v array<double>"), "k", "v")
+    assert seen == [500, similarity.PAIRS] and spark.conf.get(key) == default
+
+
+def test_blocks_are_full_whatever_the_batches(spark):
+    df = spark.range(1300, numPartitions=1).selectExpr("id as k", "if(id = 5, null, array(double(id), 1d)) as v")
+    with sinks.batches_of(spark, 7):
+        got = similarity.packed(df, "k", "v").selectExpr("size(ids) as n", "length(block) as b", "ids").collect()
+    assert [(r["n"], r["b"]) for r in got] == [(512, 8192), (512, 8192), (275, 4400)]
+    assert [x for r in got for x in r["ids"]] == [k for k in range(1300) if k != 5]
+
+
+def test_log_probability_is_the_mean_in_order(spark):
+    class Numbers:
+        def score(self, prompt, response):
+            return [float(x) for x in response.split()]
+
+    rows = [("1 2 4",), ("",), ("1e16 1 -1e16",), (None,)]
+    df = spark.createDataFrame(rows, "r string")
+    got = [r["x"] for r in df.select(models.log_probability(Numbers(), F.lit("p"), F.col("r")).alias("x")).collect()]
+    assert got == [2.333333, None, 0.0, None]
