@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,21 @@ def test_log_probability_is_the_mean_in_order(spark):
     df = spark.createDataFrame(rows, "r string")
     got = [r["x"] for r in df.select(models.log_probability(Numbers(), F.lit("p"), F.col("r")).alias("x")).collect()]
     assert got == [2.333333, None, 0.0, None]
+
+
+def test_near_edges_of_large_groups_in_blocks(spark, monkeypatch):
+    """Pairs are given once, by their first band, and no exchange holds pairs with signatures."""
+    rng = random.Random(3)
+    sigs = [[rng.randrange(3) for _ in range(8)] for _ in range(60)]
+    sigs[9] = sigs[4]
+    df = spark.createDataFrame([(k, bytearray(b"".join(x.to_bytes(8) for x in s))) for k, s in enumerate(sigs)], "_seq long, sig binary")
+    first = {tuple(s): k for k, s in reversed(list(enumerate(sigs)))}
+    nodes = sorted(first.values())
+    near = lambda a, b: any(a[k : k + 2] == b[k : k + 2] for k in (0, 2, 4)) and sum(x == y for x, y in zip(a, b)) >= 3
+    want = [(a, b) for a in nodes for b in nodes if a < b and near(sigs[a], sigs[b][:])]
+    bands = lambda: dedup.near_edges(df, 3, 8, 3 / 8)
+    assert sorted(map(tuple, bands().collect())) == want
+    monkeypatch.setattr(dedup, "GROUP", 3)
+    assert sorted(map(tuple, bands().collect())) == want
+    plan = bands()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Repartition") and "Deduplicate" not in plan and "Aggregate" not in plan[: plan.index("Repartition")]
